@@ -92,7 +92,7 @@ def rows_at_ranks(
 
 
 def _cuts(df: DataFrame, value: Column, tie: str, slots: int, rank: str, name: str) -> DataFrame:
-    """One row with array ``name``: the (value, tie) pairs at the ranks ``rank(n, t)``, t=1..slots."""
+    """One row; struct column ``name``t is the (value, tie) pair at rank ``rank(n, t)``, t=1..slots."""
     pairs = df.select(value.alias("_v"), F.col(tie).alias("_t"), F.lit(1).cast("long").alias("_w"))
     parts = in_ranges(pairs, "_v", "_t")
     ranks = (
@@ -100,21 +100,24 @@ def _cuts(df: DataFrame, value: Column, tie: str, slots: int, rank: str, name: s
         .select("n", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("t"))
         .select(F.col("t").alias("slot"), F.expr(rank).cast("long").alias("rank"))
     )
-    cut = F.struct("slot", "_v", "_t")
+    pair = F.struct("_v", "_t")
     return rows_at_ranks(parts, ["_v", "_t"], ranks).agg(
-        F.array_sort(F.collect_list(cut)).alias(name)  # at most ``slots`` entries
+        *[F.max(F.when(F.col("slot") == t, pair)).alias(f"{name}{t}") for t in range(1, slots + 1)]
     )
 
 
-def _tile(df: DataFrame, value: Column, tie: str, cuts: DataFrame, slots: int, name: str,
-          out: str) -> DataFrame:
-    """1 + the number of cuts that lie strictly before the row; a map-side comparison."""
+def _tile(df: DataFrame, value: Column, tie: str, cuts: DataFrame, out: str) -> DataFrame:
+    """1 + the number of cuts that lie strictly before the row; a map-side comparison.
+
+    A cut at rank 0 does not exist (NULL): every row lies after it.
+    """
     tile = F.lit(1)
-    for i in range(slots):
-        cut = F.get(name, F.lit(i))
-        after = (value > cut["_v"]) | ((value == cut["_v"]) & (F.col(tie) > cut["_t"]))
-        tile = tile + F.when(after, 1).otherwise(0)
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, tile).drop(name)  # cuts: one row
+    for name in cuts.columns:
+        cut = F.col(name)
+        upto = (value < cut["_v"]) | ((value == cut["_v"]) & (F.col(tie) <= cut["_t"]))
+        tile = tile + F.when(upto, 0).otherwise(1)
+    tiled = df.crossJoin(F.broadcast(cuts)).withColumn(out, tile)  # cuts: one row
+    return tiled.drop(*cuts.columns)
 
 
 def _ordered(value: str, desc: bool) -> Column:
@@ -126,32 +129,26 @@ def ntile(df: DataFrame, k: int, value: str, tie: str, out: str, desc: bool = Fa
 
     ``df`` should be checkpointed; it is read twice.
     """
-    v, cut = _ordered(value, desc), f"_cut_{out}"
+    v = _ordered(value, desc)
     rank = f"t * (n div {k}) + least(t, n % {k})"
-    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, cut), k - 1, cut, out)
+    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, f"_{out}"), out)
 
 
 def rank_bins(df: DataFrame, k: int, value: str, tie: str, out: str) -> DataFrame:
     """Equal-count bins on first-come ranks with right-closed edges at 1 + (n-1)*t/k."""
-    v, cut = _ordered(value, False), f"_cut_{out}"
+    v = F.col(value)
     rank = f"1 + ((n - 1) * t) div {k}"
-    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, cut), k - 1, cut, out)
+    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, f"_{out}"), out)
 
 
-def rank_tiers(df: DataFrame, shares: list[str], value: str, tie: str, out: str,
-               desc: bool = True) -> DataFrame:
+def rank_tiers(
+    df: DataFrame, shares: list[str], value: str, tie: str, out: str, desc: bool = True
+) -> DataFrame:
     """Number the tiers bounded by the ranks floor(n * share), best rows first."""
-    v, cut, k = _ordered(value, desc), f"_cut_{out}", len(shares)
+    v = _ordered(value, desc)
     cases = " ".join(f"WHEN {i + 1} THEN {s}BD" for i, s in enumerate(shares))
     rank = f"floor(n * CASE t {cases} END)"
-    cuts = _cuts(df, v, tie, k, rank, cut)
-    # A share too small for one row has rank 0 and no cut: all rows lie after it.
-    tile = F.lit(1)
-    for i in range(k):
-        hit = F.get(F.filter(cut, lambda c, i=i: c["slot"] == i + 1), F.lit(0))
-        before = (v < hit["_v"]) | ((v == hit["_v"]) & (F.col(tie) <= hit["_t"]))
-        tile = tile + F.when(before, 0).otherwise(1)
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, tile).drop(cut)  # cuts: one row
+    return _tile(df, v, tie, _cuts(df, v, tie, len(shares), rank, f"_{out}"), out)
 
 
 def _histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:
