@@ -151,7 +151,7 @@ def trailing_users(f: DataFrame, days: int = 30) -> DataFrame:
 
     An active day keeps a customer in the count for ``days`` days or until the next active day,
     whichever is earlier. Each such stretch is +1 at its start and -1 after its end; a running total
-    over the calendar (one row per date) gives the count.
+    over the calendar (one row per date) gives the count. The dates run to the end of the last month.
     """
     history = Window.partitionBy("customer_id").orderBy("txn_date")
     expiry = F.date_add("txn_date", days)
@@ -168,11 +168,7 @@ def trailing_users(f: DataFrame, days: int = 30) -> DataFrame:
         ).alias("e")
     ).groupBy("e.date").agg(F.sum("e.step").alias("step"))
     span = successful(f).agg(F.min("txn_date").alias("a"), F.max("txn_date").alias("b"))
-    dates = span.select(F.explode(F.sequence("a", "b")).alias("date"))
+    dates = span.select(F.explode(F.sequence("a", F.last_day("b"))).alias("date"))
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        dates.join(edges, "date", "left")
-        .select("date", F.sum(F.coalesce("step", F.lit(0))).over(upto).alias("mau_30d"))
-        .withColumnRenamed("mau_30d", f"users_{days}d")
-        .orderBy("date")
-    )
+    users = F.sum(F.coalesce("step", F.lit(0))).over(upto)
+    return dates.join(edges, "date", "left").select("date", users.alias("users")).orderBy("date")
