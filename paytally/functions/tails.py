@@ -3,32 +3,40 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+# Ship the helpers with the job, so that workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else math.erfc(v)).astype("float64")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
+    """Continued fraction of the incomplete beta function, evaluated forwards."""
     tiny = 1e-300
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
+
+    def safe(v):
+        return v if abs(v) > tiny else tiny
+
+    d = 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
     c, value = 1.0, d
-    for m in range(1, 500):
+    for m in range(1, 10000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        before = value
         for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
+            d = 1.0 / safe(1.0 + term * d)
+            c = safe(1.0 + term / c)
             value *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+        if abs(value - before) <= 1e-15 * abs(value):
             break
     return value
 
@@ -47,7 +55,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     def p(v, n):
         if pd.isna(v) or pd.isna(n):
