@@ -115,12 +115,19 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return dbl(num) / F.nullif(dbl(den), F.lit(0.0))
 
 
+def rnd(x: str | Column, digits: int = 2) -> Column:
+    """Round a double half away from zero, deciding on the scaled value. 675823.47 / 14, stored just
+    below 48273.105, rounds to 48273.11 as in decimal arithmetic."""
+    scale = float(10**digits)
+    return F.round(_col(x) * scale, 0) / scale
+
+
 def pct(num: str | Column, den: str | Column, digits: int = 2) -> Column:
-    return F.round(safe_div(num, den) * 100, digits)
+    return rnd(safe_div(num, den) * 100, digits)
 
 
 def ratio(num: str | Column, den: str | Column, digits: int = 2) -> Column:
-    return F.round(safe_div(num, den), digits)
+    return rnd(safe_div(num, den), digits)
 
 
 def money(c: str | Column, digits: int = 2) -> Column:
@@ -131,7 +138,7 @@ def money(c: str | Column, digits: int = 2) -> Column:
 def growth(current: str | Column, previous: str | Column, digits: int | None = 2) -> Column:
     """Percentage change, NULL without a previous value or when it is zero."""
     change = (dbl(current) - dbl(previous)) / F.nullif(dbl(previous), F.lit(0.0)) * 100
-    return change if digits is None else F.round(change, digits)
+    return change if digits is None else rnd(change, digits)
 
 
 def share(c: str, *within: str, digits: int = 2) -> Column:

@@ -91,64 +91,72 @@ def rows_at_ranks(
     )
 
 
-def _cuts(df: DataFrame, value: Column, tie: str, slots: int, rank: str, name: str) -> DataFrame:
-    """One row; struct column ``name``t is the (value, tie) pair at rank ``rank(n, t)``, t=1..slots."""
-    pairs = df.select(value.alias("_v"), F.col(tie).alias("_t"), F.lit(1).cast("long").alias("_w"))
-    parts = in_ranges(pairs, "_v", "_t")
-    ranks = (
-        parts.agg(F.count(F.lit(1)).alias("n"))
-        .select("n", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("t"))
-        .select(F.col("t").alias("slot"), F.expr(rank).cast("long").alias("rank"))
-    )
-    pair = F.struct("_v", "_t")
-    return rows_at_ranks(parts, ["_v", "_t"], ranks).agg(
-        *[F.max(F.when(F.col("slot") == t, pair)).alias(f"{name}{t}") for t in range(1, slots + 1)]
-    )
+Cut = tuple[Column, int, str]  # value, number of cuts, rank of cut t as SQL over n and t
 
 
-def _tile(df: DataFrame, value: Column, tie: str, cuts: DataFrame, out: str) -> DataFrame:
-    """1 + the number of cuts that lie strictly before the row; a map-side comparison.
+def by_ntile(value: str, k: int, desc: bool = False) -> Cut:
+    """SQL ``NTILE(k)``: the first ``n mod k`` tiles get one extra row."""
+    return -F.col(value) if desc else F.col(value), k - 1, f"t * (n div {k}) + least(t, n % {k})"
 
-    A cut at rank 0 does not exist (NULL): every row lies after it.
-    """
-    tile = F.lit(1)
-    for name in cuts.columns:
-        cut = F.col(name)
-        upto = (value < cut["_v"]) | ((value == cut["_v"]) & (F.col(tie) <= cut["_t"]))
-        tile = tile + F.when(upto, 0).otherwise(1)
-    tiled = df.crossJoin(F.broadcast(cuts)).withColumn(out, tile)  # cuts: one row
-    return tiled.drop(*cuts.columns)
+
+def by_rank_bin(value: str, k: int) -> Cut:
+    """Equal-count bins on first-come ranks with right-closed edges at 1 + (n-1)*t/k."""
+    return F.col(value), k - 1, f"1 + ((n - 1) * t) div {k}"
 
 
-def _ordered(value: str, desc: bool) -> Column:
-    return -F.col(value) if desc else F.col(value)
+def by_rank_share(value: str, shares: list[str]) -> Cut:
+    """Tiers bounded by the ranks floor(n * share), highest values first."""
+    cases = " ".join(f"WHEN {i + 1} THEN {s}BD" for i, s in enumerate(shares))
+    return -F.col(value), len(shares), f"floor(n * CASE t {cases} END)"
 
 
-def ntile(df: DataFrame, k: int, value: str, tie: str, out: str, desc: bool = False) -> DataFrame:
-    """SQL ``NTILE(k)`` over (value, tie): the first ``n mod k`` tiles get one extra row.
+def tiled(df: DataFrame, tie: str, **tiles: Cut) -> DataFrame:
+    """Number the tiles of each entry from 1, in the order of (value, ``tie``); ``tie`` is unique.
 
-    ``df`` should be checkpointed; it is read twice.
+    The cut rows of all entries are found in one range-partitioned pass; numbering a row is then a
+    comparison with one broadcast row of cuts. ``df`` should be checkpointed: it is read twice.
     """
-    v = _ordered(value, desc)
-    rank = f"t * (n div {k}) + least(t, n % {k})"
-    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, f"_{out}"), out)
+    specs = list(tiles.items())
+    # One array makes Spark widen the values to their common type without loss.
+    values = F.array(*[value for _, (value, _, _) in specs])
+    pairs = df.select(F.posexplode(values).alias("_m", "_v"), F.col(tie).alias("_t"))
+    parts = in_ranges(pairs.withColumn("_w", F.lit(1).cast("long")), "_m", "_v", "_t")
+    wanted = F.array(*[
+        F.struct(F.lit(m).alias("m"), F.lit(t).alias("t"))
+        for m, (_, (_, slots, _)) in enumerate(specs) for t in range(1, slots + 1)
+    ])
+    rank = F.coalesce(*[
+        F.when(F.col("slot.m") == m, F.expr(sql) + m * F.col("n"))
+        for m, (_, (_, _, sql)) in enumerate(specs)
+    ])
+    ranks = (
+        parts.agg((F.count(F.lit(1)) / len(specs)).cast("long").alias("n"))
+        .select("n", F.explode(wanted).alias("slot"))
+        .select("n", "slot", F.col("slot.t").alias("t"))
+        .withColumn("rank", rank.cast("long"))
+        .filter(F.col("rank") > F.col("slot.m") * F.col("n"))  # rank 0 cuts nothing
+        .select("slot", "rank")
+    )
+    found = rows_at_ranks(parts, ["_m", "_v", "_t"], ranks)
 
+    def cut_of(m: int, t: int) -> Column:
+        hit = (F.col("slot.m") == m) & (F.col("slot.t") == t)
+        return F.max(F.when(hit, F.struct("_v", "_t"))).alias(f"_cut_{m}_{t}")
 
-def rank_bins(df: DataFrame, k: int, value: str, tie: str, out: str) -> DataFrame:
-    """Equal-count bins on first-come ranks with right-closed edges at 1 + (n-1)*t/k."""
-    v = F.col(value)
-    rank = f"1 + ((n - 1) * t) div {k}"
-    return _tile(df, v, tie, _cuts(df, v, tie, k - 1, rank, f"_{out}"), out)
+    cuts = found.agg(*[
+        cut_of(m, t) for m, (_, (_, slots, _)) in enumerate(specs) for t in range(1, slots + 1)
+    ])
 
+    def tile(m: int, value: Column, slots: int) -> Column:
+        number = F.lit(1)
+        for t in range(1, slots + 1):
+            cut = F.col(f"_cut_{m}_{t}")  # NULL for a cut at rank 0: every row lies after it
+            upto = (value < cut["_v"]) | ((value == cut["_v"]) & (F.col(tie) <= cut["_t"]))
+            number = number + F.when(upto, 0).otherwise(1)
+        return number
 
-def rank_tiers(
-    df: DataFrame, shares: list[str], value: str, tie: str, out: str, desc: bool = True
-) -> DataFrame:
-    """Number the tiers bounded by the ranks floor(n * share), best rows first."""
-    v = _ordered(value, desc)
-    cases = " ".join(f"WHEN {i + 1} THEN {s}BD" for i, s in enumerate(shares))
-    rank = f"floor(n * CASE t {cases} END)"
-    return _tile(df, v, tie, _cuts(df, v, tie, len(shares), rank, f"_{out}"), out)
+    numbers = {out: tile(m, value, slots) for m, (out, (value, slots, _)) in enumerate(specs)}
+    return df.crossJoin(F.broadcast(cuts)).withColumns(numbers).drop(*cuts.columns)  # one row
 
 
 def _histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -220,17 +228,25 @@ def percentiles(
     return found.groupBy(*by).agg(*[interpolated(i).alias(p) for i, p in enumerate(names)])
 
 
-def kth_values(df: DataFrame, value: str, probs: dict[str, str]) -> DataFrame:
-    """One row: the value found after skipping floor(n * p) rows in ascending order."""
-    parts = in_ranges(_histogram(df, value, []), "_v")
+def kth_values(df: DataFrame, columns: list[str], probs: dict[str, str]) -> DataFrame:
+    """One row: per column and entry the value found after skipping floor(n * p) rows in ascending
+    order, named ``column_entry``. All columns share one pass."""
+    cells = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("_m", "v"))
+    parts = in_ranges(_histogram(cells, "v", ["_m"]), "_m", "_v")
     wanted = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("slot"), F.expr(f"{p}BD").alias("p"))
+        F.array(*[F.struct(F.lit(name).alias("name"), F.expr(f"{p}BD").alias("p"))
                   for name, p in probs.items()])
     )
+    rank = F.col("start") + F.floor(F.col("n") * F.col("w.p")) + 1
     ranks = (
-        _group_starts(parts, [])
-        .select("n", wanted.alias("w"))
-        .select("w.slot", (F.floor(F.col("n") * F.col("w.p")) + 1).cast("long").alias("rank"))
+        _group_starts(parts, ["_m"])
+        .select("_m", "n", "start", wanted.alias("w"))
+        .select(F.struct(F.col("_m").alias("m"), "w.name").alias("slot"), rank.cast("long").alias("rank"))
     )
-    found = rows_at_ranks(parts, ["_v"], ranks)
-    return found.agg(*[F.max(F.when(F.col("slot") == p, F.col("_v"))).alias(p) for p in probs])
+    found = rows_at_ranks(parts, ["_m", "_v"], ranks)
+    return found.agg(*[
+        F.max(F.when((F.col("slot.m") == m) & (F.col("slot.name") == name), F.col("_v"))).alias(
+            f"{c}_{name}"
+        )
+        for m, c in enumerate(columns) for name in probs
+    ])

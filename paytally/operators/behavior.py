@@ -9,7 +9,7 @@ from paytally.functions.expr import (
     hour_key, money, month_index, month_key, month_num, month_of_index, month_start, pct, ratio,
     share, successful, totals, within_last,
 )
-from paytally.functions.ordered import checkpointed, ntile
+from paytally.functions.ordered import by_ntile, checkpointed, tiled
 
 
 def user_days(f: DataFrame) -> DataFrame:
@@ -116,9 +116,9 @@ def deciles(f: DataFrame, n: int = 10) -> DataFrame:
     users = checkpointed(
         successful(f).groupBy("customer_id").agg(F.sum("amount").alias("spent"))
     )
-    tiled = ntile(users, n, "spent", "customer_id", "decile", desc=True)
+    groups = tiled(users, "customer_id", decile=by_ntile("spent", n, desc=True))
     return (
-        tiled.groupBy("decile")
+        groups.groupBy("decile")
         .agg(F.count(F.lit(1)).alias("user_count"), F.sum("spent").alias("gmv"))
         .select(
             "decile", "user_count", money("gmv").alias("total_gmv"),

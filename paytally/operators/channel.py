@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    by_month, dbl, growth, lookup, money, pct, previous, ratio, safe_div, share, successful, totals,
+    by_month, dbl, growth, lookup, money, pct, previous, ratio, rnd, safe_div, share, successful,
+    totals,
 )
 
 NAME = "channel_name"
@@ -55,7 +56,7 @@ def above_mean(f: DataFrame, dim: DataFrame) -> DataFrame:
     margins = margin(f, dim).select(NAME, "margin_pct")
     mean = F.avg("margin_pct").over(Window.partitionBy())  # one row per channel
     return margins.select(
-        NAME, "margin_pct", F.round(mean, 4).alias("mean_margin_pct"),
+        NAME, "margin_pct", rnd(mean, 4).alias("mean_margin_pct"),
         (F.col("margin_pct") > mean).alias("above_mean"),
     )
 
@@ -91,7 +92,7 @@ def best_efficiency(f: DataFrame, dim: DataFrame) -> DataFrame:
     ranked = _paid(f, dim).select(NAME, safe_div("net", "cost").alias("efficiency"))
     return ranked.agg(
         F.max_by(NAME, "efficiency").alias("best_channel"),
-        F.round(F.max("efficiency"), 4).alias("efficiency_ratio"),
+        rnd(F.max("efficiency"), 4).alias("efficiency_ratio"),
     )
 
 

@@ -9,6 +9,7 @@ from paytally.functions.expr import (
     days_since, money, net_revenue, ratio, share, successful, within_last,
 )
 from paytally.operators.rfm import reference_date
+from paytally.sources.readers import values
 
 ID = "customer_id"
 
@@ -148,7 +149,7 @@ def funnel(f: DataFrame, ref: str | None = None, scheme: str = "A", counters: st
         F.sum("total_gmv").alias("gmv"),
     )
     names = labels(scheme)
-    order = f.sparkSession.createDataFrame(list(enumerate(names)), "sort_order int, churn_risk string")
+    order = values(f.sparkSession, list(enumerate(names)), "sort_order int, churn_risk string")
     joined = order.join(groups, "churn_risk", "left" if reindex else "inner")
     filled = joined.withColumn("customer_count", F.coalesce("customer_count", F.lit(0)))
     return filled.select(

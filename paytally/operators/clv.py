@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    dbl, days_since, lookup, money, month_start, net_revenue, pct, ratio, share, successful,
+    days_since, dbl, lookup, money, month_start, net_revenue, pct, ratio, rnd, share, successful,
 )
 from paytally.functions.ordered import (
-    checkpointed, in_ranges, ntile, percentiles as exact_percentiles, rank_tiers as rank_tier_no,
-    running_sums,
+    by_ntile, by_rank_share, checkpointed, in_ranges, percentiles as exact_percentiles,
+    running_sums, tiled,
 )
 from paytally.operators.rfm import reference_date
 
@@ -84,9 +84,9 @@ def _net(f: DataFrame) -> DataFrame:
 
 
 def quintiles(f: DataFrame, k: int = 5) -> DataFrame:
-    tiled = ntile(_net(f), k, "net", ID, "quintile", desc=True)
+    groups = tiled(_net(f), ID, quintile=by_ntile("net", k, desc=True))
     return (
-        tiled.groupBy("quintile")
+        groups.groupBy("quintile")
         .agg(F.count(F.lit(1)).alias("users"), F.sum("net").alias("net"))
         .select("quintile", "users", money("net").alias("revenue"), share("net").alias("revenue_pct"))
         .orderBy("quintile")
@@ -100,7 +100,7 @@ LAST_TIER = "Bottom 50%"
 
 def rank_tiers(f: DataFrame) -> DataFrame:
     """Customers in rank tiers and their part of revenue."""
-    tiered = rank_tier_no(_net(f), [s for s, _ in TIERS], "net", ID, "tier_no")
+    tiered = tiled(_net(f), ID, tier_no=by_rank_share("net", [s for s, _ in TIERS]))
     label = F.element_at(
         F.array(*[F.lit(name) for _, name in TIERS], F.lit(LAST_TIER)), F.col("tier_no")
     )
@@ -128,9 +128,9 @@ def projected(f: DataFrame) -> DataFrame:
     ).select((dbl("net") / F.col("months")).alias("rev"), "months")
     means = users.agg(F.avg("rev").alias("rev"), ratio(F.sum("months"), F.count("months"), 12).alias("m"))
     return means.select(
-        F.round("rev", 4).alias("avg_monthly_rev_per_user"),
-        F.round("m", 2).alias("avg_active_months"),
-        F.round(F.col("rev") * F.col("m"), 4).alias("projected_clv_avg"),
+        rnd("rev", 4).alias("avg_monthly_rev_per_user"),
+        rnd("m", 2).alias("avg_active_months"),
+        rnd(F.col("rev") * F.col("m"), 4).alias("projected_clv_avg"),
     )
 
 
@@ -144,7 +144,7 @@ VALUE_TIERS = {
 
 def tiers(f: DataFrame, dim_customer: DataFrame, labels: str = "sql") -> DataFrame:
     """Customers with their percentile tier and segment tag."""
-    value = dbl(F.round("net", 2)) if labels == "sql" else dbl("net")
+    value = money("net") if labels == "sql" else dbl("net")
     customers = checkpointed(per_customer(f).withColumn("value", value))
     limits = exact_percentiles(customers, "value", {"p90": 0.9, "p75": 0.75, "p50": 0.5})
     out = None
@@ -176,7 +176,7 @@ def percentiles(f: DataFrame) -> DataFrame:
         ratio(F.sum("net"), F.count("net")).alias("avg_ltv"),
         money(F.sum("net")).alias("total_net_revenue"),
     )
-    rounded = limits.select(*[F.round(c, 2).alias(c) for c in limits.columns])
+    rounded = limits.select(*[rnd(c, 2).alias(c) for c in limits.columns])
     return rounded.crossJoin(F.broadcast(means))  # one row each
 
 
@@ -218,7 +218,7 @@ def top(f: DataFrame, dim_customer: DataFrame, dim_city: DataFrame, k: int = 100
 
 def top_share(f: DataFrame, shares: list[str] = ("0.10", "0.20")) -> DataFrame:
     """Part of revenue earned with the top share of customers by rank."""
-    tiered = rank_tier_no(_net(f), list(shares), "net", ID, "tier_no")
+    tiered = tiled(_net(f), ID, tier_no=by_rank_share("net", list(shares)))
     upto = Window.orderBy("tier_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tiers_ = tiered.groupBy("tier_no").agg(
         F.count(F.lit(1)).alias("n"), F.sum("net").alias("net")
@@ -249,7 +249,7 @@ def share_above(f: DataFrame, p: float = 0.9) -> DataFrame:
         F.sum("net").alias("total"),
     )
     return row.select(
-        F.round("threshold", 2).alias("threshold"), "customers", money("top").alias("revenue"),
+        rnd("threshold", 2).alias("threshold"), "customers", money("top").alias("revenue"),
         pct("top", "total").alias("revenue_share_pct"),
     )
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    money, month_key, month_of_index, month_start, net_revenue, pct, ratio, safe_div, successful,
+    money, month_key, month_of_index, month_start, net_revenue, pct, ratio, rnd, safe_div,
+    successful,
 )
 from paytally.operators.behavior import user_months
 
@@ -90,7 +91,7 @@ def average(f: DataFrame, max_month: int = 11) -> DataFrame:
         .filter(F.col("offset").between(0, max_month))
         .groupBy(F.col("offset").alias("months_since_cohort"))
         .agg(
-            F.round(F.avg(safe_div("users", "size") * 100), 2).alias("avg_retention_pct"),
+            rnd(F.avg(safe_div("users", "size") * 100), 2).alias("avg_retention_pct"),
             F.sum("users").alias("total_retained"),
             F.sum("size").alias("total_cohort_size"),
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
     by_month, dbl, growth, lookup, money, month_key, month_start, net_revenue, pct, previous,
-    ratio, share, successful, totals,
+    ratio, rnd, share, successful, totals,
 )
 from paytally.functions.ordered import percentiles
 
@@ -134,7 +134,7 @@ def monthly_aov(f: DataFrame) -> DataFrame:
         ratio("gmv", "n").alias("avg_order_value"),
         money("lo").alias("min_amount"),
         money("hi").alias("max_amount"),
-        F.round("median", 2).alias("median_amount"),
+        rnd("median", 2).alias("median_amount"),
     ).orderBy("month")
 
 

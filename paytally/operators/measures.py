@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
     by_month, growth, lookup, money, month_index, month_key, month_of_index, month_start, pct,
-    previous, ratio, successful, totals,
+    previous, ratio, rnd, successful, totals,
 )
 from paytally.operators import behavior
 
@@ -51,7 +51,7 @@ def users(f: DataFrame) -> DataFrame:
         month_key("m").alias("month"),
         "mau_30d",
         F.col("users").alias("unique_customers"),
-        F.round(mean, 4).alias("avg_dau"),
+        rnd(mean, 4).alias("avg_dau"),
         _or_zero(pct(mean, "users", 4)).alias("stickiness_pct"),
         _or_zero(pct(mean, "mau_30d", 4)).alias("stickiness_30d_pct"),
         F.col("txns").alias("total_transactions"),
@@ -64,8 +64,8 @@ def users_overall(f: DataFrame) -> DataFrame:
     months = behavior.stickiness(f, 10)
     return months.agg(
         F.sum("mau").alias("total_mau"),
-        F.round(F.avg("mau"), 4).alias("average_mau"),
-        F.round(F.avg("stickiness_pct"), 4).alias("average_stickiness_pct"),
+        rnd(F.avg("mau"), 4).alias("average_mau"),
+        rnd(F.avg("stickiness_pct"), 4).alias("average_stickiness_pct"),
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    FAILED, PENDING, SUCCESS, dbl, lookup, mdr_revenue, money, month_key, month_start, pct, ratio,
-    share, successful,
+    FAILED, PENDING, SUCCESS, dbl, lookup, mdr_revenue, money, month_key, month_start, pct,
+    ratio, rnd, share, successful,
 )
 from paytally.functions.ordered import percentiles
 
@@ -132,7 +132,7 @@ def mdr_range(f: DataFrame) -> DataFrame:
         dbl(F.min("mdr_pct")).alias("min_mdr"),
         dbl(F.max("mdr_pct")).alias("max_mdr"),
         ratio(F.sum("mdr_pct"), F.count("mdr_pct"), 6).alias("avg_mdr"),
-    ).crossJoin(F.broadcast(median.withColumn("median_mdr", F.round("median_mdr", 6))))
+    ).crossJoin(F.broadcast(median.withColumn("median_mdr", rnd("median_mdr", 6))))
 
 
 def mdr_out_of_range(f: DataFrame, low: float = 0, high: float = 5) -> DataFrame:

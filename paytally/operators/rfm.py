@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    days_since, dbl, lookup, money, month_start, net_revenue, ratio, share, successful,
+    days_since, dbl, lookup, money, month_start, net_revenue, ratio, rnd, share, successful,
+)
+from paytally.functions.ordered import (
+    by_ntile, by_rank_bin, checkpointed, kth_values, percentiles, tiled,
 )
-from paytally.functions.ordered import checkpointed, kth_values, ntile, percentiles, rank_bins
 
 ID = "customer_id"
 
@@ -17,7 +19,7 @@ def reference_date(f: DataFrame, ref: str | None = None) -> DataFrame:
     """One row ``ref``: the given date, or the last SUCCESS date."""
     if ref is None:
         return successful(f).agg(F.max("txn_date").alias("ref"))
-    return f.sparkSession.range(1).select(F.lit(ref).cast("date").alias("ref"))
+    return f.sparkSession.range(0, 1, 1, 1).select(F.lit(ref).cast("date").alias("ref"))
 
 
 def base(f: DataFrame, ref: str | None = None) -> DataFrame:
@@ -126,15 +128,20 @@ def rfm_label(scheme: str) -> Column:
 QUARTERS = {"p25": "0.25", "p50": "0.50", "p75": "0.75"}
 
 
-def _threshold_score(df: DataFrame, value: str, out: str, low_is_good: bool) -> DataFrame:
-    """Score 4..1 against the quartile values of the column, equal values scoring alike."""
-    c = F.col(value)
-    limits = F.broadcast(kth_values(df, value, QUARTERS))  # one row
-    if low_is_good:
-        score = F.when(c <= F.col("p25"), 4).when(c <= F.col("p50"), 3).when(c <= F.col("p75"), 2)
-    else:
-        score = F.when(c >= F.col("p75"), 4).when(c >= F.col("p50"), 3).when(c >= F.col("p25"), 2)
-    return df.crossJoin(limits).withColumn(out, score.otherwise(1)).drop(*QUARTERS)
+def _threshold_scores(df: DataFrame, **columns: tuple[str, bool]) -> DataFrame:
+    """Scores 4..1 against the quartile values of each column, equal values scoring alike."""
+    limits = kth_values(df, [c for c, _ in columns.values()], QUARTERS)  # one row
+
+    def score_of(c: str, low_is_good: bool) -> Column:
+        x, p25, p50, p75 = F.col(c), *[F.col(f"{c}_{q}") for q in QUARTERS]
+        if low_is_good:
+            best = F.when(x <= p25, 4).when(x <= p50, 3).when(x <= p75, 2)
+        else:
+            best = F.when(x >= p75, 4).when(x >= p50, 3).when(x >= p25, 2)
+        return best.otherwise(1)
+
+    scores = {out: score_of(c, low) for out, (c, low) in columns.items()}
+    return df.crossJoin(F.broadcast(limits)).withColumns(scores).drop(*limits.columns)
 
 
 def _value_bins(df: DataFrame, value: str, k: int, out: str) -> DataFrame:
@@ -149,32 +156,25 @@ def _value_bins(df: DataFrame, value: str, k: int, out: str) -> DataFrame:
 
 def score(b: DataFrame, scheme: str) -> DataFrame:
     """Add ``r_score``, ``f_score``, ``m_score``. ``b`` is a checkpointed base."""
-    both = [("frequency", "f_score"), ("monetary", "m_score")]
-    if scheme == "ntile4":
-        b = ntile(b, 4, "recency_days", ID, "r_score").withColumn("r_score", 5 - F.col("r_score"))
-    elif scheme == "ntile5":
-        b = ntile(b, 5, "recency_days", ID, "r_score", desc=True)
-    elif scheme == "qcut4":
-        b = rank_bins(b, 4, "recency_days", ID, "r_score").withColumn(
-            "r_score", 5 - F.col("r_score")
-        )
-    elif scheme == "qcut5":
-        b = _value_bins(b, "recency_days", 5, "r_score").withColumn(
-            "r_score", 6 - F.col("r_score")
+    days, count, spend = "recency_days", "frequency", "monetary"
+    if scheme == "kth4":
+        return _threshold_scores(
+            b, r_score=(days, True), f_score=(count, False), m_score=(spend, False)
         )
-    elif scheme in ("kth4", "mixed4"):
-        b = _threshold_score(b, "recency_days", "r_score", low_is_good=True)
-    else:
-        raise ValueError(f"unknown RFM scheme: {scheme}")
     k = 5 if scheme.endswith("5") else 4
-    for value, out in both:
-        if scheme == "kth4":
-            b = _threshold_score(b, value, out, low_is_good=False)
-        elif scheme.startswith("qcut"):
-            b = rank_bins(b, k, value, ID, out)
-        else:
-            b = ntile(b, k, value, ID, out)
-    return b
+    cut = by_rank_bin if scheme.startswith("qcut") else by_ntile
+    tiles = {"f_score": cut(count, k), "m_score": cut(spend, k)}
+    flip = F.lit(k + 1) - F.col("r_score")  # few days score high
+    if scheme == "ntile5":
+        return tiled(b, ID, r_score=by_ntile(days, k, desc=True), **tiles)
+    if scheme in ("ntile4", "qcut4"):
+        return tiled(b, ID, r_score=cut(days, k), **tiles).withColumn("r_score", flip)
+    if scheme == "qcut5":
+        binned = _value_bins(tiled(b, ID, **tiles), days, k, "r_score")
+        return binned.withColumn("r_score", flip)
+    if scheme == "mixed4":
+        return _threshold_scores(tiled(b, ID, **tiles), r_score=(days, True))
+    raise ValueError(f"unknown RFM scheme: {scheme}")
 
 
 def segment(rfm_base: DataFrame, scheme: str = "ntile4") -> DataFrame:
@@ -217,7 +217,7 @@ def summary(segments: DataFrame) -> DataFrame:
             share("gmv").alias("pct_gmv"),
             ratio("recency", "customer_count", 1).alias("avg_recency_days"),
             ratio("freq", "customer_count", 1).alias("avg_frequency"),
-            F.round("aov", 2).alias("avg_order_value"),
+            rnd("aov", 2).alias("avg_order_value"),
             money("net").alias("total_revenue"),
         )
         .orderBy(F.desc("total_gmv"))

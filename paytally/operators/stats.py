@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    dbl, lookup, month_start, net_revenue, pct, ratio, safe_div, successful,
+    dbl, lookup, month_start, net_revenue, pct, ratio, rnd, safe_div, successful,
 )
 from paytally.functions.ordered import in_ranges, percentiles as exact_percentiles, running_sums
 from paytally.functions.tails import erfc, student_two_sided
@@ -103,10 +103,10 @@ def bootstrap_ratio(
     both = observed.join(bands, by) if by else observed.crossJoin(F.broadcast(bands))  # one row
     return both.select(
         *by, "n",
-        F.round("observed", 4).alias("observed"),
-        F.round(F.col("q")[0], 4).alias("ci_low"),
-        F.round(F.col("q")[1], 4).alias("median"),
-        F.round(F.col("q")[2], 4).alias("ci_high"),
+        rnd("observed", 4).alias("observed"),
+        rnd(F.col("q")[0], 4).alias("ci_low"),
+        rnd(F.col("q")[1], 4).alias("median"),
+        rnd(F.col("q")[2], 4).alias("ci_high"),
     )
 
 
@@ -138,9 +138,9 @@ def chi_square(counts: DataFrame) -> DataFrame:
     chi2 = n * gap * gap / F.nullif(margins, F.lit(0.0))
     return counts.withColumn("_x", chi2).select(
         "a", "b", "c", "d",
-        F.round("_x", 6).alias("chi2"),
+        rnd("_x", 6).alias("chi2"),
         F.lit(1).alias("dof"),
-        F.round(erfc(F.sqrt(F.col("_x") / 2)), 6).alias("p_value"),
+        rnd(erfc(F.sqrt(F.col("_x") / 2)), 6).alias("p_value"),
     )
 
 
@@ -173,9 +173,9 @@ def _welch(moments: DataFrame) -> DataFrame:
     )
     return moments.withColumns({"_t": t, "_df": df}).select(
         "n_a", "n_b",
-        F.round("mean_a", 4).alias("mean_a"), F.round("mean_b", 4).alias("mean_b"),
-        F.round("_t", 6).alias("t"), F.round("_df", 4).alias("df"),
-        F.round(student_two_sided("_t", "_df"), 6).alias("p_value"),
+        rnd("mean_a", 4).alias("mean_a"), rnd("mean_b", 4).alias("mean_b"),
+        rnd("_t", 6).alias("t"), rnd("_df", 4).alias("df"),
+        rnd(student_two_sided("_t", "_df"), 6).alias("p_value"),
     )
 
 
@@ -189,8 +189,8 @@ def cohens_d(df: DataFrame, group: Column, x: Column) -> DataFrame:
     d = (F.col("mean_a") - F.col("mean_b")) / F.nullif(pooled, F.lit(0.0))
     size = F.abs(F.col("cohens_d"))
     return _moments(df, group, x).select(
-        F.round("mean_a", 4).alias("mean_a"), F.round("mean_b", 4).alias("mean_b"),
-        F.round(d, 6).alias("cohens_d"),
+        rnd("mean_a", 4).alias("mean_a"), rnd("mean_b", 4).alias("mean_b"),
+        rnd(d, 6).alias("cohens_d"),
     ).withColumn(
         "effect", F.when(size > 0.8, "Large").when(size > 0.5, "Medium").otherwise("Small")
     )
@@ -221,9 +221,9 @@ def mann_whitney(df: DataFrame, group: Column, x: Column) -> DataFrame:
     z = (top - na * nb / 2 - 0.5) / F.sqrt(F.nullif(var, F.lit(0.0)))
     return row.withColumn("_z", z).select(
         "n_a", "n_b",
-        F.round("u", 1).alias("u"),
-        F.round("_z", 6).alias("z"),
-        F.round(F.least(erfc(F.col("_z") / F.sqrt(F.lit(2.0))), F.lit(1.0)), 6).alias("p_value"),
+        rnd("u", 1).alias("u"),
+        rnd("_z", 6).alias("z"),
+        rnd(F.least(erfc(F.col("_z") / F.sqrt(F.lit(2.0))), F.lit(1.0)), 6).alias("p_value"),
     )
 
 
@@ -341,7 +341,7 @@ def ab_summary(f: DataFrame) -> DataFrame:
         "group_label", "customers",
         ratio("spend", "customers").alias("avg_spend"),
         ratio("txns", "customers").alias("avg_txns"),
-        F.round("lift", 4).alias("txn_lift_pct"),
+        rnd("lift", 4).alias("txn_lift_pct"),
     )
 
 
@@ -361,9 +361,9 @@ def describe(f: DataFrame, column: str = "amount") -> DataFrame:
     kurt = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("g2") + 6)
     median = exact_percentiles(successful(f), column, {"median": 0.5})
     return row.crossJoin(F.broadcast(median)).select(  # one row each
-        "n", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"),
-        F.round("std", 4).alias("std"), F.round(skew, 6).alias("skew"),
-        F.round(kurt, 6).alias("kurt"), F.col("lo").alias("min"), F.col("hi").alias("max"),
+        "n", rnd("mean", 2).alias("mean"), rnd("median", 2).alias("median"),
+        rnd("std", 4).alias("std"), rnd(skew, 6).alias("skew"),
+        rnd(kurt, 6).alias("kurt"), F.col("lo").alias("min"), F.col("hi").alias("max"),
     )
 
 
@@ -372,7 +372,7 @@ PERCENTS = (10, 25, 50, 75, 90, 95, 99)
 
 def percentiles(f: DataFrame, column: str = "amount", percents: list[int] = PERCENTS) -> DataFrame:
     row = exact_percentiles(successful(f), column, {f"p{p}": p / 100 for p in percents})
-    return row.select(*[F.round(c, 2).alias(c) for c in row.columns])
+    return row.select(*[rnd(c, 2).alias(c) for c in row.columns])
 
 
 def normality(f: DataFrame, column: str = "amount") -> DataFrame:
@@ -382,7 +382,7 @@ def normality(f: DataFrame, column: str = "amount") -> DataFrame:
     )
     jb = dbl("n") / 6 * (F.col("g1") * F.col("g1") + F.col("g2") * F.col("g2") / 4)
     return row.withColumn("jb", jb).select(
-        "n", F.round("jb", 4).alias("jarque_bera"), F.round(F.exp(-F.col("jb") / 2), 6).alias("p_value")
+        "n", rnd("jb", 4).alias("jarque_bera"), rnd(F.exp(-F.col("jb") / 2), 6).alias("p_value")
     )
 
 
@@ -398,8 +398,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     frame = span.select("lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return frame.join(counts, "bin", "left").select(
         "bin",
-        F.round(F.col("lo") + F.col("bin") * F.col("w"), 4).alias("bin_low"),
-        F.round(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 4).alias("bin_high"),
+        rnd(F.col("lo") + F.col("bin") * F.col("w"), 4).alias("bin_low"),
+        rnd(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 4).alias("bin_high"),
         F.coalesce("n", F.lit(0)).alias("count"),
     ).orderBy("bin")
 
@@ -410,7 +410,7 @@ FIVE = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Five-number summary per group."""
     rows = exact_percentiles(df, column, {f"{k}_{column}": p for k, p in FIVE.items()}, by=[by])
-    return rows.select(by, *[F.round(c, 4).alias(c) for c in rows.columns if c != by])
+    return rows.select(by, *[rnd(c, 4).alias(c) for c in rows.columns if c != by])
 
 
 def clip_at(df: DataFrame, column: str, p: float) -> DataFrame:

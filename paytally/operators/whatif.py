@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    dbl, lookup, money, month_start, net_revenue, pct, ratio, safe_div, successful, totals,
+    dbl, lookup, money, month_start, net_revenue, pct, ratio, rnd, safe_div, successful, totals,
 )
 from paytally.functions.tails import erfc
 from paytally.operators import churn, stats
+from paytally.sources.readers import values
 
 SCENARIO = (
     "position int, scenario string, mdr_shift decimal(6,4), cashback_factor decimal(6,4), "
@@ -41,7 +42,7 @@ FULL = [("BASE (Current)", "0", "1", "1"), ("Scenario 1: MDR +0.5%", "0.5", "1",
 
 def scenario_frame(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
     data = [(i, n, Decimal(m), Decimal(c), Decimal(p)) for i, (n, m, c, p) in enumerate(rows)]
-    return spark.createDataFrame(data, SCENARIO)
+    return values(spark, data, SCENARIO)
 
 
 def base(f: DataFrame) -> DataFrame:
@@ -129,10 +130,10 @@ def user_growth(f: DataFrame, growth: list[int] = (0, 10, 20, 30, 50)) -> DataFr
     return row.select("*", steps).select(
         "growth_pct",
         F.col("mau").alias("current_mau"),
-        F.round(users, 0).alias("projected_mau"),
+        rnd(users, 0).alias("projected_mau"),
         money("net").alias("current_revenue"),
-        F.round(revenue, 2).alias("projected_revenue"),
-        F.round(revenue - dbl("net"), 2).alias("incremental_revenue"),
+        rnd(revenue, 2).alias("projected_revenue"),
+        rnd(revenue - dbl("net"), 2).alias("incremental_revenue"),
     ).orderBy("growth_pct")
 
 
@@ -187,9 +188,9 @@ def channel_shift(f: DataFrame, dim_channel: DataFrame, src: str = "CARD", dst:
                  shifted.alias("net")),
     ))
     return row.select(outcome.alias("o")).select(
-        "o.scenario", F.round("o.source", 2).alias("source_gmv"),
-        F.round("o.target", 2).alias("target_gmv"),
-        F.round("o.net", 2).alias("combined_net_revenue"),
+        "o.scenario", rnd("o.source", 2).alias("source_gmv"),
+        rnd("o.target", 2).alias("target_gmv"),
+        rnd("o.net", 2).alias("combined_net_revenue"),
     )
 
 
@@ -204,10 +205,10 @@ def churn_prevention(f: DataFrame, ref: str | None = None) -> DataFrame:
     monthly = dbl("net") / 12
     return row.select(
         "high_risk_count",
-        F.round(dbl("gmv") / 12, 2).alias("at_risk_monthly_gmv"),
-        F.round(monthly, 2).alias("at_risk_monthly_revenue"),
-        F.round(monthly * 0.2, 2).alias("recoverable_revenue_20pct"),
-        F.round(monthly * 0.3, 2).alias("recoverable_revenue_30pct"),
+        rnd(dbl("gmv") / 12, 2).alias("at_risk_monthly_gmv"),
+        rnd(monthly, 2).alias("at_risk_monthly_revenue"),
+        rnd(monthly * 0.2, 2).alias("recoverable_revenue_20pct"),
+        rnd(monthly * 0.3, 2).alias("recoverable_revenue_30pct"),
     )
 
 
@@ -229,10 +230,10 @@ def elasticity_grid(
     return rows.select(
         "cashback_reduction_pct",
         "mdr_increase_pct",
-        F.round(new_gmv, 2).alias("projected_gmv"),
-        F.round(new_net, 2).alias("projected_net_revenue"),
-        F.round(new_net / new_gmv * 100, 4).alias("projected_margin_pct"),
-        F.round(new_net - net, 2).alias("revenue_uplift"),
+        rnd(new_gmv, 2).alias("projected_gmv"),
+        rnd(new_net, 2).alias("projected_net_revenue"),
+        rnd(new_net / new_gmv * 100, 4).alias("projected_margin_pct"),
+        rnd(new_net - net, 2).alias("revenue_uplift"),
     ).orderBy("cashback_reduction_pct", "mdr_increase_pct")
 
 
@@ -242,10 +243,10 @@ def mdr_ladder(f: DataFrame, steps: int = 10) -> DataFrame:
     extra = dbl("gmv") * (F.col("i") * 0.1 / 100)
     new = dbl("net_revenue") + extra
     return rows.select(
-        F.round(F.col("i") * 0.1, 1).alias("mdr_increase_pct"),
-        F.round(new, 4).alias("new_net_revenue"),
-        F.round(new / dbl("gmv") * 100, 6).alias("new_margin_pct"),
-        F.round(extra, 4).alias("uplift"),
+        rnd(F.col("i") * 0.1, 1).alias("mdr_increase_pct"),
+        rnd(new, 4).alias("new_net_revenue"),
+        rnd(new / dbl("gmv") * 100, 6).alias("new_margin_pct"),
+        rnd(extra, 4).alias("uplift"),
     ).orderBy("mdr_increase_pct")
 
 
@@ -288,13 +289,13 @@ def sensitivity(f: DataFrame, cuts: list[int] = tuple(range(0, 55, 5)),
     better = F.when(cut == 0, 0.0).when(earning > 0, above).otherwise(1 - above)
     rows = _each(f, cuts, "reduction_pct").select(
         "reduction_pct",
-        F.round(dbl("gmv") * (1 + F.lit(mean) * cut), 2).alias("proj_gmv"),
-        F.round(net(mean), 2).alias("proj_net_revenue"),
-        F.round(net(mean) / (dbl("gmv") * (1 + F.lit(mean) * cut)) * 100, 4).alias("new_margin_pct"),
-        F.round(net(mean) - dbl("net_revenue"), 2).alias("revenue_uplift"),
-        F.round(F.least(net(mean - spread), net(mean + spread)), 2).alias("ci_lower"),
-        F.round(F.greatest(net(mean - spread), net(mean + spread)), 2).alias("ci_upper"),
-        F.round(better, 6).alias("p_better_than_base"),
+        rnd(dbl("gmv") * (1 + F.lit(mean) * cut), 2).alias("proj_gmv"),
+        rnd(net(mean), 2).alias("proj_net_revenue"),
+        rnd(net(mean) / (dbl("gmv") * (1 + F.lit(mean) * cut)) * 100, 4).alias("new_margin_pct"),
+        rnd(net(mean) - dbl("net_revenue"), 2).alias("revenue_uplift"),
+        rnd(F.least(net(mean - spread), net(mean + spread)), 2).alias("ci_lower"),
+        rnd(F.greatest(net(mean - spread), net(mean + spread)), 2).alias("ci_upper"),
+        rnd(better, 6).alias("p_better_than_base"),
     )
     return rows.orderBy("reduction_pct")
 
@@ -323,9 +324,9 @@ def mdr_sensitivity(f: DataFrame, deltas: list[float] = (-0.5, -0.25, 0.0, 0.25,
     )
     return _each(f, list(deltas), "mdr_delta", "double").select(
         "mdr_delta",
-        F.round(volume, 4).alias("volume_change_pct"),
-        F.round(new, 2).alias("mean_net_revenue"),
-        F.round((new - dbl("net_revenue")) / F.nullif(dbl("net_revenue"), F.lit(0.0)) * 100, 4).alias(
+        rnd(volume, 4).alias("volume_change_pct"),
+        rnd(new, 2).alias("mean_net_revenue"),
+        rnd((new - dbl("net_revenue")) / F.nullif(dbl("net_revenue"), F.lit(0.0)) * 100, 4).alias(
             "change_pct"
         ),
     ).orderBy("mdr_delta")
@@ -370,7 +371,7 @@ def bootstrap_scenarios(f: DataFrame, grid: str = "mdr", replicates: int = 5000,
     rows = reps.select("*", cells).select("*", *[f"g.{k}" for k in keys])
     mdr = dbl("mdr") + dbl("gmv") * F.col("mdr_delta") / 100
     if grid == "mdr":
-        noise = stats.normal_draw("replicate", F.round("mdr_delta", 2).cast("string"), seed)
+        noise = stats.normal_draw("replicate", rnd("mdr_delta", 2).cast("string"), seed)
         mdr = mdr + noise * F.sqrt(F.col("squares")) * (MDR_NOISE / 100)
     if grid == "cashback":
         # The reaction is scaled with the replicate's own GMV, as in the published simulation.
@@ -394,8 +395,8 @@ def bootstrap_scenarios(f: DataFrame, grid: str = "mdr", replicates: int = 5000,
     change = (median - F.col("base_net")) / F.nullif(F.col("base_net"), F.lit(0.0)) * 100
     return bands.select(
         *keys,
-        F.round(median, 2).alias("rev_median"),
-        F.round(F.col("q")[0], 2).alias("rev_ci_low"),
-        F.round(F.col("q")[2], 2).alias("rev_ci_high"),
-        F.round(change, 4).alias("rev_change_pct"),
+        rnd(median, 2).alias("rev_median"),
+        rnd(F.col("q")[0], 2).alias("rev_ci_low"),
+        rnd(F.col("q")[2], 2).alias("rev_ci_high"),
+        rnd(change, 4).alias("rev_change_pct"),
     ).orderBy(*keys)

@@ -17,5 +17,6 @@ def local_session(cores: int | str = "*", name: str = "paytally") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PAYTALLY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

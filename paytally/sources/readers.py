@@ -37,6 +37,16 @@ def read_star(
     return star
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short literal table, planned as a local relation so that joins can broadcast it."""
+    kinds = StructType.fromDDL(schema)
+    cells = F.array(*[
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kinds, row)])
+        for row in rows
+    ])
+    return spark.range(0, 1, 1, 1).select(F.explode(cells).alias("r")).select("r.*")
+
+
 def normalize_bool(df: DataFrame, columns: list[str]) -> DataFrame:
     """Turn "True"/"False" text columns into booleans."""
     return df.withColumns({c: F.col(c).cast("boolean") for c in columns}) if columns else df
