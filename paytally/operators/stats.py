@@ -28,13 +28,13 @@ def _draw(*parts: str | Column | int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def poisson_weight(*key: str | Column | int) -> Column:
+def poisson_weight(u: Column) -> Column:
     """Poisson(1) count by inverting its distribution function at 32-bit resolution."""
-    u, cdf, term, weight = _draw(*key), 0.0, math.exp(-1), F.lit(0)
+    cdf, term, weight = 0.0, math.exp(-1), F.lit(0)
     for k in range(12):
         cdf += term
         term /= k + 1
-        weight = weight + F.when(u >= int(cdf * 2**32), 1).otherwise(0)
+        weight = weight + (u >= int(cdf * 2**32)).cast("int")
     return weight
 
 
@@ -68,9 +68,17 @@ def replicate_sums(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = per_unit.repartition(parts, *by, "unit").select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).withColumn("w", poisson_weight(seed, "unit", "replicate")).filter("w > 0")
+    # The number is drawn inside the generator, so that it is computed once per pair.
+    draws = F.transform(
+        F.sequence(F.lit(1), F.lit(replicates)),
+        lambda r: F.struct(r.alias("replicate"), _draw(seed, "unit", r).alias("u")),
+    )
+    drawn = (
+        per_unit.repartition(parts, *by, "unit")
+        .select("*", F.inline(draws))
+        .withColumn("w", poisson_weight(F.col("u")))
+        .filter("w > 0")
+    )
     return drawn.groupBy(*by, "replicate").agg(
         F.sum(F.col("n") * F.col("w")).alias("n"),
         *[F.sum(F.col(name) * F.col("w")).alias(name) for name in sums],

@@ -127,7 +127,8 @@ def _whatif():
         if dist == "uniform":
             above = f"least(greatest(({mean + 0.0009!r}::DOUBLE - {tip})/0.0018,0),1)"
         else:
-            above = _upper(f"({tip} - {mean!r})/0.0001")
+            z = f"(({tip} - {mean!r})/0.0001)"
+            above = f"(CASE WHEN {z} < 0 THEN 1 - {_upper(f'(-{z})')} ELSE {_upper(z)} END)"
         g = f"({B['gmv']}*(1 + ({mean!r}::DOUBLE)*{dbl('r')}))"
         table = f"""SELECT {big('r')} AS reduction_pct, round({g},2) AS proj_gmv,
             round({net(mean)},2) AS proj_net_revenue,
@@ -461,7 +462,7 @@ def _measures():
 def _extracts():
     """Extracts not already covered by an operator of the same definition."""
     def extract(name):
-        return lambda st: export.extracts(st)[name]
+        return export.EXTRACTS[name]
 
     from paytally.plans.catalog import _QUERIES as known
 
@@ -516,7 +517,7 @@ def _extracts():
     add("snk_03_mdr_scenarios", extract("mdr_scenario_results"), known["wi_09_mdr_ladder"][1])
 
     def pack(name):
-        return lambda st: export.kpi_pack(st)[name]
+        return export.PACK[name]
 
     lag = "lag({0}) OVER (ORDER BY month)".format
     add("snk_04_pack_monthly_kpis", pack("monthly_kpis"), sql(

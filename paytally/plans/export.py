@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from paytally.operators import (
 )
 from paytally.sources.readers import save_table
 
-Star = dict[str, DataFrame]
+Star = Mapping[str, DataFrame]
 
 
 def channel_trend(star: Star) -> DataFrame:
@@ -57,53 +59,35 @@ def churn_funnel(star: Star) -> DataFrame:
     )
 
 
-def extracts(star: Star) -> dict[str, DataFrame]:
-    """All extracts by file name, lazily."""
-    f = star["fact_transactions"]
-    return {
-        "01_monthly_kpi": kpi.monthly_kpi(f),
-        "02_channel_performance": channel.performance(f, star["dim_channel"]),
-        "03_monthly_channel_trend": channel_trend(star),
-        "04_geo_gmv": geo.extract(f, star["dim_city"]),
-        "05_dau_mau_stickiness": stickiness(star),
-        "06_cohort_retention": cohort_retention(star),
-        "07_rfm_segments": rfm.extract(f, star["dim_customer"]),
-        "08_clv_table": clv_table(star),
-        "09_churn_risk": churn_table(star),
-        "10_merchant_category": merchant.extract(f, star["dim_merchant"]),
-        "11_cashback_roi": cashback.roi_extract(f),
-        "12_whatif_scenarios": whatif.elasticity_grid(f),
-        "rfm_segments": rfm.extract(f, star["dim_customer"]),
-        "clv_table": clv_table(star),
-        "churn_risk_funnel": churn_funnel(star),
-        "cashback_scenario_results": whatif.sensitivity(f),
-        "mdr_scenario_results": whatif.mdr_ladder(f),
-    }
+FACT = "fact_transactions"
+
+# Extracts by file name; each is defined when it is asked for.
+EXTRACTS: dict[str, Callable[[Star], DataFrame]] = {
+    "01_monthly_kpi": lambda st: kpi.monthly_kpi(st[FACT]),
+    "02_channel_performance": lambda st: channel.performance(st[FACT], st["dim_channel"]),
+    "03_monthly_channel_trend": channel_trend,
+    "04_geo_gmv": lambda st: geo.extract(st[FACT], st["dim_city"]),
+    "05_dau_mau_stickiness": stickiness,
+    "06_cohort_retention": cohort_retention,
+    "07_rfm_segments": lambda st: rfm.extract(st[FACT], st["dim_customer"]),
+    "08_clv_table": clv_table,
+    "09_churn_risk": churn_table,
+    "10_merchant_category": lambda st: merchant.extract(st[FACT], st["dim_merchant"]),
+    "11_cashback_roi": lambda st: cashback.roi_extract(st[FACT]),
+    "12_whatif_scenarios": lambda st: whatif.elasticity_grid(st[FACT]),
+    "rfm_segments": lambda st: rfm.extract(st[FACT], st["dim_customer"]),
+    "clv_table": clv_table,
+    "churn_risk_funnel": churn_funnel,
+    "cashback_scenario_results": lambda st: whatif.sensitivity(st[FACT]),
+    "mdr_scenario_results": lambda st: whatif.mdr_ladder(st[FACT]),
+}
 
 
 def export_all(star: Star, out: str, fmt: str = "csv") -> list[str]:
     """Write every extract to ``out/name``. Each one scans only the columns it needs."""
-    names = []
-    for name, df in extracts(star).items():
-        save_table(df, f"{out}/{name}", fmt=fmt)
-        names.append(name)
-    return names
-
-
-def kpi_pack(star: Star) -> dict[str, DataFrame]:
-    """The eight headline result sets."""
-    f = star["fact_transactions"]
-    spark = f.sparkSession
-    return {
-        "gmv_summary": kpi.gmv_summary(f),
-        "revenue_summary": kpi.revenue_summary(f),
-        "monthly_kpis": monthly_kpis(f),
-        "channel_efficiency": channel.efficiency(f, star["dim_channel"]),
-        "geo_gmv": geo.state_tier(f, star["dim_city"]),
-        "rfm_segments": rfm.summary(rfm.segment(rfm.base(f), "kth4")),
-        "whatif_scenarios": whatif.scenarios(f, whatif.scenario_frame(spark, whatif.PACK)),
-        "churn_risk": churn.funnel(f, scheme="B"),
-    }
+    for name, extract in EXTRACTS.items():
+        save_table(extract(star), f"{out}/{name}", fmt=fmt)
+    return list(EXTRACTS)
 
 
 def monthly_kpis(f: DataFrame) -> DataFrame:
@@ -119,6 +103,25 @@ def monthly_kpis(f: DataFrame) -> DataFrame:
     ).orderBy("month")
 
 
+# The eight headline result sets.
+PACK: dict[str, Callable[[Star], DataFrame]] = {
+    "gmv_summary": lambda st: kpi.gmv_summary(st[FACT]),
+    "revenue_summary": lambda st: kpi.revenue_summary(st[FACT]),
+    "monthly_kpis": lambda st: monthly_kpis(st[FACT]),
+    "channel_efficiency": lambda st: channel.efficiency(st[FACT], st["dim_channel"]),
+    "geo_gmv": lambda st: geo.state_tier(st[FACT], st["dim_city"]),
+    "rfm_segments": lambda st: rfm.summary(rfm.segment(rfm.base(st[FACT]), "kth4")),
+    "whatif_scenarios": lambda st: whatif.scenarios(
+        st[FACT], whatif.scenario_frame(st[FACT].sparkSession, whatif.PACK)
+    ),
+    "churn_risk": lambda st: churn.funnel(st[FACT], scheme="B"),
+}
+
+
+def kpi_pack(star: Star) -> dict[str, DataFrame]:
+    return {name: result(star) for name, result in PACK.items()}
+
+
 def write_pack(pack: dict[str, DataFrame], out: str, fmt: str = "parquet") -> None:
     for name, df in pack.items():
         save_table(df, f"{out}/{name}", fmt=fmt)
