@@ -68,16 +68,12 @@ def replicate_sums(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The number is drawn inside the generator, so that it is computed once per pair.
-    draws = F.transform(
-        F.sequence(F.lit(1), F.lit(replicates)),
-        lambda r: F.struct(r.alias("replicate"), _draw(seed, "unit", r).alias("u")),
-    )
+    # Units leave the exact decimal domain here; a weighted sum of doubles is enough for a band.
     drawn = (
-        per_unit.repartition(parts, *by, "unit")
-        .select("*", F.inline(draws))
-        .withColumn("w", poisson_weight(F.col("u")))
-        .filter("w > 0")
+        per_unit.select(*by, "unit", "n", *[dbl(name).alias(name) for name in sums])
+        .repartition(parts, *by, "unit")
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        .withColumn("w", poisson_weight(_draw(seed, "unit", "replicate")))
     )
     return drawn.groupBy(*by, "replicate").agg(
         F.sum(F.col("n") * F.col("w")).alias("n"),

@@ -188,7 +188,7 @@ def _weights(replicates: int) -> dict[str, str]:
 
 def _replicates(sums: dict[str, str], by: str = "", source: str = "s") -> dict[str, str]:
     keys = f"{by}, " if by else ""
-    units = ", ".join(f"CAST(sum({x}) AS DECIMAL(28,8)) AS {n}" for n, x in sums.items())
+    units = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {n}" for n, x in sums.items())
     totals = ", ".join(f"sum({n}*w) AS {n}" for n in sums)
     return {
         "units": f"SELECT {keys}{UNIT_SQL} AS unit, count(*) AS n, {units} FROM {source} GROUP BY ALL",
