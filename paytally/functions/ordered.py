@@ -79,15 +79,18 @@ def rows_at_ranks(
         (F.col("rank") > F.col("_n_before")) & (F.col("rank") <= F.col("_n_before") + F.col("_n")),
     ).select("slot", "rank", "_part", "_n_before")
     upto = F.col("_n_before") + F.sum(weight).over(
-        Window.partitionBy("slot", "_part")
+        Window.partitionBy("_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    sorted_parts = parts.join(
+        F.broadcast(hits.select("_part", "_n_before").distinct()), "_part"  # at most one per rank
+    ).withColumn("_upto", upto)
+    wanted = hits.select("_part", "slot", "rank")  # one row per requested rank
     return (
-        parts.join(F.broadcast(hits), "_part")  # one row per requested rank
-        .withColumn("_upto", upto)
+        sorted_parts.join(F.broadcast(wanted), "_part")
         .filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col(weight)))
-        .drop("_upto", "_n_before")
+        .select(*parts.columns, "slot", "rank")
     )
 
 
