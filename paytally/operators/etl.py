@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import SUCCESS, net_revenue
@@ -26,15 +26,20 @@ def daily_rollup(f: DataFrame) -> DataFrame:
     )
 
 
+def _loaded_ids(f: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ids of ``keys`` that the fact holds. A batch is small against the fact, so Spark broadcasts
+    its ids into the scan below the broadcast threshold and shuffles only beyond it."""
+    ids = keys.select("transaction_id").distinct()
+    return f.select("transaction_id").join(ids, "transaction_id", "left_semi").distinct()
+
+
 def new_rows(f: DataFrame, staging: DataFrame) -> DataFrame:
     """Staging rows after the last loaded date whose id is not loaded yet."""
     mark = f.agg(F.max("txn_date").alias("_mark"))
     newer = staging.crossJoin(F.broadcast(mark)).filter(  # one row
         F.col("_mark").isNull() | (F.col("txn_date") > F.col("_mark"))
-    )
-    return newer.drop("_mark").join(
-        f.select("transaction_id").distinct(), "transaction_id", "left_anti"
     ).select(*staging.columns)
+    return newer.join(_loaded_ids(f, newer), "transaction_id", "left_anti").select(*staging.columns)
 
 
 def incremental_append(f: DataFrame, staging: DataFrame) -> DataFrame:
@@ -44,20 +49,19 @@ def incremental_append(f: DataFrame, staging: DataFrame) -> DataFrame:
 def upsert_refunds(f: DataFrame, updates: DataFrame) -> DataFrame:
     """Set ``refunded_amt`` and ``settlement_date`` of known ids and add unknown ids.
 
-    ``updates`` carries at most one row per id and any subset of the fact columns.
+    ``updates`` carries at most one row per id and any subset of the fact columns. A left join and a
+    union instead of a full outer join leave the fact unshuffled while the updates can be broadcast.
     """
-    given = [c for c in updates.columns if c != "transaction_id"]
+    changed = [c for c in ("refunded_amt", "settlement_date") if c in updates.columns]
     new = updates.select(
-        "transaction_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in given]
+        "transaction_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed]
     )
-    old = f.withColumn("_old", F.lit(True))
-    merged = old.join(new, "transaction_id", "full_outer")
 
-    def value(c: str):
-        if c == "transaction_id" or c not in given:
+    def value(c: str) -> Column:
+        if c not in changed:
             return F.col(c)
-        if c in ("refunded_amt", "settlement_date"):
-            return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
+        return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
-    return merged.select(*[value(c) for c in f.columns])
+    kept = f.join(new, "transaction_id", "left").select(*[value(c) for c in f.columns])
+    fresh = updates.join(_loaded_ids(f, updates), "transaction_id", "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True).select(*f.columns)

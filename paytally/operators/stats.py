@@ -395,9 +395,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     x = df.select(dbl(column).alias("x")).filter(F.col("x").isNotNull())
     span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    at = F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    step = F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0)))
+    at = F.when(width == 0, 0).otherwise(F.least(step, F.lit(bins - 1)))
     counts = x.crossJoin(F.broadcast(span)).groupBy(  # one row
-        F.coalesce(at, F.lit(0)).alias("bin")
+        at.alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
     frame = span.select("lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return frame.join(counts, "bin", "left").select(
