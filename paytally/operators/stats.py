@@ -19,13 +19,18 @@ ID = "customer_id"
 # --- bootstrap ---------------------------------------------------------------------------------
 
 
-def _draw(*parts: str | Column | int) -> Column:
-    """A reproducible 32-bit number from a key, the same on any cluster and partitioning."""
-    key = F.concat_ws(":", *[
+def _digest(*parts: str | Column | int) -> Column:
+    """Hex digest of a key, the same on any cluster and partitioning."""
+    return F.md5(F.concat_ws(":", *[
         (F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string")
         for p in parts
-    ])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    ]))
+
+
+def _number(digest: Column, at: Column | int = 0) -> Column:
+    """The 32-bit number at place 0..3 of a digest."""
+    start = F.lit(at) * 8 + 1
+    return F.conv(F.substring(digest, start, F.lit(8)), 16, 10).cast("long")
 
 
 def poisson_weight(u: Column) -> Column:
@@ -40,8 +45,8 @@ def poisson_weight(u: Column) -> Column:
 
 def normal_draw(*key: str | Column | int) -> Column:
     """Standard normal number from two hashed uniforms (Box-Muller)."""
-    u = (dbl(_draw(F.lit("u"), *key)) + 0.5) / 2**32
-    v = (dbl(_draw(F.lit("v"), *key)) + 0.5) / 2**32
+    u = (dbl(_number(_digest(F.lit("u"), *key))) + 0.5) / 2**32
+    v = (dbl(_number(_digest(F.lit("v"), *key))) + 0.5) / 2**32
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
 
 
@@ -69,12 +74,21 @@ def replicate_sums(
     )
     parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Units leave the exact decimal domain here; a weighted sum of doubles is enough for a band.
+    # One digest serves four replicates.
+    block, place = F.col("block"), F.col("place")
     drawn = (
         per_unit.select(*by, "unit", "n", *[dbl(name).alias(name) for name in sums])
         .repartition(parts, *by, "unit")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .withColumn("w", poisson_weight(_draw(seed, "unit", "replicate")))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))).alias("block"))
+        .withColumn("digest", _digest(seed, "unit", "block"))
+        .select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("place"))
+        .withColumns({
+            "replicate": block * 4 + place + 1,
+            "w": poisson_weight(_number(F.col("digest"), place)),
+        })
     )
+    if replicates % 4:
+        drawn = drawn.filter(F.col("replicate") <= replicates)
     return drawn.groupBy(*by, "replicate").agg(
         F.sum(F.col("n") * F.col("w")).alias("n"),
         *[F.sum(F.col(name) * F.col("w")).alias(name) for name in sums],

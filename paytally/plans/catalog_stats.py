@@ -180,8 +180,11 @@ def _weights(replicates: int) -> dict[str, str]:
         cuts.append(int(cdf * 2**32))
     weight = " + ".join(f"CAST(u >= {c} AS INT)" for c in cuts)
     return {
-        "draws": f"""SELECT unit, replicate, {_draw("'42'", 'unit', 'replicate')} AS u
-            FROM range({UNITS}) a(unit), range(1, {replicates + 1}) r(replicate)""",
+        "digests": f"""SELECT unit, block, md5('42:'||unit||':'||block) AS d
+            FROM range({UNITS}) a(unit), range({(replicates + 3) // 4}) b(block)""",
+        "draws": f"""SELECT unit, block*4 + place + 1 AS replicate,
+            ('0x'||substr(d, place*8 + 1, 8))::BIGINT AS u FROM digests, range(4) p(place)
+            WHERE block*4 + place < {replicates}""",
         "weights": f"SELECT unit, replicate, {weight} AS w FROM draws",
     }
 
