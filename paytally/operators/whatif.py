@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
-    dbl, lookup, money, month_start, net_revenue, pct, ratio, rnd, safe_div, successful, totals,
+    dbl, lookup, money, month_start, net_revenue, pct, rnd, safe_div, successful, totals,
 )
 from paytally.functions.tails import erfc
 from paytally.operators import churn, stats

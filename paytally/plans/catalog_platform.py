@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paytally.functions.expr import successful
 from paytally.operators import (
     cashback, channel, cost, etl, geo, kpi, merchant, quality, retry,
 )
