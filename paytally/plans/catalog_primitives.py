@@ -141,11 +141,15 @@ def _joins():
 
 
 def _aggregations():
-    cb = F.col("cashback_amt")
-    add("ag_05_06_07_conditional", fact(lambda f: f.groupBy("city_id").agg(
-        F.countDistinct(F.when(cb > 0, F.col("customer_id"))).alias("cashback_users"),
-        ratio(F.sum(F.when(cb > 0, F.col("amount"))), F.count_if(cb > 0)).alias("avg_cashback_amount"),
-        F.count(F.lit(1)).alias("n")).filter(F.col("n") > 100)), sql(
+    def conditional(f):
+        paid = F.col("cashback_amt") > 0
+        return f.groupBy("city_id").agg(
+            F.countDistinct(F.when(paid, F.col("customer_id"))).alias("cashback_users"),
+            ratio(F.sum(F.when(paid, F.col("amount"))), F.count_if(paid)).alias("avg_cashback_amount"),
+            F.count(F.lit(1)).alias("n"),
+        ).filter(F.col("n") > 100)
+
+    add("ag_05_06_07_conditional", fact(conditional), sql(
         f"""SELECT {big('city_id')} AS city_id,
         count(DISTINCT CASE WHEN cashback_amt > 0 THEN customer_id END) AS cashback_users,
         {sratio('sum(amount) FILTER (WHERE cashback_amt > 0)', 'count(*) FILTER (WHERE cashback_amt > 0)')}

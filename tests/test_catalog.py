@@ -35,3 +35,15 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert sorted(queries()) == sorted(oracle_sql())
+
+
+def test_catalogue_loads_without_a_session():
+    """Queries and SQL are listed before any Spark session exists."""
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    first, second = out.stdout.split()
+    assert first == second
