@@ -348,7 +348,7 @@ def bootstrap_scenarios(f: DataFrame, grid: str = "mdr", replicates: int = 5000,
                         units: int = 1024, unit: Column | None = None, seed: int = 42) -> DataFrame:
     """Median and 95 % band of net revenue per scenario under resampling of payments.
 
-    All scenarios read the same replicate totals, so the fact table is aggregated once. Independent
+    All scenarios read the same replicate totals; the base totals are a second scan. Independent
     noise on the MDR of every payment adds up to one normal term per replicate with variance
     (0.05 / 100)^2 * sum(amount^2).
     """
