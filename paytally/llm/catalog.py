@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paytally.llm import decontaminate, hash_tree, packing, quality_rules, simhash_pivots, surrogates
+from paytally.llm import (
+    context_tree, decontaminate, hash_tree, imatch, lyndon_repeats, packing, quality_rules, simhash_pivots,
+    surrogates, transcripts,
+)
 from paytally.llm.common import documents
 
 SURROGATE_KEY = "paytally"
@@ -26,10 +29,29 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.report(documents(spark, sf_dir), SURROGATE_KEY)
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(documents(spark, sf_dir))
+
+
+def op4_lyndon_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_repeats.remove_repeats(documents(spark, sf_dir), length=400).drop("spans")
+
+
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from raw transcripts of all conversations; conversations with crc32(conv_id) mod 4 = 2 are
+    not learned from."""
+    lines = transcripts.raw_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return transcripts.recover(lines)
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(documents(spark, sf_dir), shards=40)
 
@@ -44,7 +66,9 @@ def op10_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_rule_ensemble, op2_surrogates, op6_simhash_pivots, op8_hash_tree, op9_prefix_join, op10_bound_packing)
+    found = (
+        op1_rule_ensemble, op2_surrogates, op3_context_tree, op4_lyndon_repeats, op5_imatch, op6_simhash_pivots,
+        op7_transcripts, op8_hash_tree, op9_prefix_join, op10_bound_packing)
     return {f.__name__: f for f in found}
 
 
