@@ -141,7 +141,7 @@ class Tree:
         for d in range(self.depth - 1, -1, -1):
             _, a, b = nodes[d]
             size = len(own[d])
-            below = np.bincount(up[d + 1], weights=mixed[d + 1], minlength=size)
+            below = np.bincount(up[d + 1], weights=mixed[d + 1], minlength=size).astype(float)
             within = np.bincount(up[d + 1], weights=nodes[d + 1][1] + nodes[d + 1][2], minlength=size)
             below += (a + b - within) * own[d] / np.maximum(a + b, 1)  # contexts that were not kept
             mixed[d] = np.log(0.5) + np.logaddexp(own[d], below)
@@ -158,25 +158,29 @@ class Tree:
 
     @staticmethod
     def _nodes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted node keys with their zeros and ones; ``code`` is sorted, so equal keys of one bit are neighbours."""
         byte, context = code & np.uint64(255), code >> np.uint64(8) << np.uint64(8)
         keys, zeros, ones = [], [], []
-        for j in range(8):
+        for j in range(8 if len(code) else 0):
             prefix = np.uint64(1 << j) | byte >> np.uint64(8 - j) if j else np.full_like(byte, 1)
             bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            keys.append(context | prefix)
-            zeros.append(np.where(bit, 0, n))
-            ones.append(np.where(bit, n, 0))
+            key = context | prefix
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            keys.append(key[first])
+            zeros.append(np.add.reduceat(np.where(bit, 0, n), first))
+            ones.append(np.add.reduceat(np.where(bit, n, 0), first))
+        if not keys:
+            return np.empty(0, np.uint64), np.empty(0), np.empty(0)
         key = np.concatenate(keys)
-        found, at = np.unique(key, return_inverse=True)
-        return (found, np.bincount(at, weights=np.concatenate(zeros), minlength=len(found)),
-                np.bincount(at, weights=np.concatenate(ones), minlength=len(found)))
+        order = np.argsort(key)
+        return key[order], np.concatenate(zeros)[order].astype(float), np.concatenate(ones)[order].astype(float)
 
     def _known(self, code: np.ndarray) -> None:
         """Open-addressing table of the log10 probabilities of all codes seen in training."""
-        self.bits = max(10, int(np.ceil(np.log2(max(len(code), 1) * 4))))
+        self.bits = max(10, int(np.ceil(np.log2(max(len(code), 1) * 2))))
         size = 1 << self.bits
         self.slot_code = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.slot_value = np.zeros(size)
+        self.slot_value = np.zeros(size, dtype=np.float32)
         value, at, left = self.walk(code), self._slot(code), np.arange(len(code))
         while len(left):
             free = self.slot_code[at[left]] == np.iinfo(np.uint64).max
@@ -262,8 +266,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, frequent: int = 200_000,
-          max_entries: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, frequent: int = 200_000,
+          max_entries: int = 1_000_000) -> DataFrame:
     """One row per document: unigram base score and the tree's log10 probability of the lower-cased text."""
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)

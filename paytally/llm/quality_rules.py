@@ -10,7 +10,7 @@ covers every row. Labels, language, source and id are never inputs.
 
 Defined results: null and empty texts have statistics of zero and get a score like any other; labels that
 are null or whose document is missing are ignored; repeated rows get equal scores; without two classes
-of labels the score is the share of label 1 (0.5 without labels).
+of labels, or with too few for a split, the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -110,16 +110,19 @@ class Ensemble:
 def fit(labelled: DataFrame, trees: int = 24, depth: int = 3, l1: float = 0.002, seed: int = 7) -> Ensemble:
     """Fit on rows with the statistics and ``quality`` (0 or 1)."""
     share = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
-    if len(share) < 2:
-        value = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-        return Ensemble(math.log(value / (1 - value)), {})
     n = sum(share.values())
+    value = (share.get(1, 0) + 0.5) / (n + 1)
+    constant = Ensemble(math.log(value / (1 - value)), {})
+    if len(share) < 2:
+        return constant
     rows = labelled.withColumn("_w", F.when(F.col("quality") == 1, n / (2 * share[1])).otherwise(n / (2 * share[0])))
     rows = VectorAssembler(inputCols=STATISTICS, outputCol="_x").transform(rows)
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol="quality", weightCol="_w", numTrees=trees, maxDepth=depth,
         featureSubsetStrategy="sqrt", subsamplingRate=0.7, minInstancesPerNode=5, seed=seed).fit(rows)
     rules = sorted({rule for tree in forest.trees for rule in _paths(tree._java_obj.rootNode(), STATISTICS)})
+    if not rules:  # too few rows for a single split
+        return constant
     table = labelled.select("quality", *[holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     table = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="_x").transform(table)
     lasso = LogisticRegression(featuresCol="_x", labelCol="quality", elasticNetParam=1.0, regParam=l1,
