@@ -123,37 +123,48 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
+
+
 class Tree:
     """Frozen mixture: per depth the sorted node keys (context << 8 | 1 and known bits) and P(bit = 1)."""
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
         """``tables[d]``: sorted codes (context of d bytes << 8 | byte) and their counts."""
         self.depth = len(tables) - 1
-        nodes = [self._nodes(c, n) for c, n in tables]
-        up: list = [None] * len(nodes)  # index of each node's parent (one byte of context less)
-        for d in range(1, len(nodes)):
+        # From the deepest nodes up; per depth only what the way down needs is kept.
+        self.keys: list = [None] * len(tables)
+        estimate, stay, up = [None] * len(tables), [None] * len(tables), [None] * len(tables)
+        key, a, b = self._nodes(*tables[-1])
+        own = _kt(a, b)
+        mixed = own
+        for d in range(self.depth, -1, -1):
+            self.keys[d] = key
+            estimate[d] = (b + 0.5) / (a + b + 1)
+            stay[d] = np.exp(np.log(0.5) + own - mixed).astype(np.float32) if d < self.depth else np.float32(1)
+            if d == 0:
+                break
+            higher, a_up, b_up = self._nodes(*tables[d - 1])
             mask = np.uint64((1 << 8 * (d - 1)) - 1)
-            key = nodes[d][0]
             parent = ((key >> np.uint64(8)) & mask) << np.uint64(8) | (key & np.uint64(255))
-            up[d] = np.searchsorted(nodes[d - 1][0], parent)
-        own = [_lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi) for _, a, b in nodes]
-        mixed, stay = list(own), [np.ones(len(k)) for k, _, _ in nodes]
-        for d in range(self.depth - 1, -1, -1):
-            _, a, b = nodes[d]
-            size = len(own[d])
-            below = np.bincount(up[d + 1], weights=mixed[d + 1], minlength=size).astype(float)
-            within = np.bincount(up[d + 1], weights=nodes[d + 1][1] + nodes[d + 1][2], minlength=size)
-            below += (a + b - within) * own[d] / np.maximum(a + b, 1)  # contexts that were not kept
-            mixed[d] = np.log(0.5) + np.logaddexp(own[d], below)
-            stay[d] = np.exp(np.log(0.5) + own[d] - mixed[d])
-        self.keys, self.one = [k for k, _, _ in nodes], []
-        share, total = np.ones(len(own[0])), np.zeros(len(own[0]))
-        for d, (_, a, b) in enumerate(nodes):
+            up[d] = np.searchsorted(higher, parent).astype(np.int32)
+            below = np.bincount(up[d], weights=mixed, minlength=len(higher)).astype(float)
+            within = np.bincount(up[d], weights=a + b, minlength=len(higher))
+            key, a, b = higher, a_up, b_up
+            own = _kt(a, b)
+            below += (a + b - within) * own / np.maximum(a + b, 1)  # contexts that were not kept
+            mixed = np.log(0.5) + np.logaddexp(own, below)
+        self.one: list = []
+        share, total = np.ones(len(self.keys[0])), np.zeros(len(self.keys[0]))
+        for d in range(self.depth + 1):
             if d:
                 share, total = share[up[d]], total[up[d]]
-            estimate = (b + 0.5) / (a + b + 1)
-            self.one.append(total + share * estimate)
-            total, share = total + share * stay[d] * estimate, share * (1 - stay[d])
+            self.one.append(total + share * estimate[d])
+            total = total + share * stay[d] * estimate[d]
+            share = share * (1 - stay[d])
+            estimate[d] = stay[d] = None
         self._known(tables[-1][0])
 
     @staticmethod
@@ -210,7 +221,7 @@ class Tree:
                 one[rows[hit]] = self.one[d][at[hit]]
                 open_[rows[hit]] = False
             bit = byte >> np.uint64(7 - j) & np.uint64(1)
-            total += np.log10(np.where(bit == 1, one, 1 - one))
+            total += np.log10(np.clip(np.where(bit == 1, one, 1 - one), 1e-12, 1))
         return total
 
     def log10(self, code: np.ndarray) -> np.ndarray:
@@ -267,7 +278,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, frequent: int = 200_000,
-          max_entries: int = 1_000_000) -> DataFrame:
+          max_entries: int = 500_000) -> DataFrame:
     """One row per document: unigram base score and the tree's log10 probability of the lower-cased text."""
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)
