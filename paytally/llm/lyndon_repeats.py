@@ -33,7 +33,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from paytally.llm.common import map_texts, narrow, stored
 
-SLICE = 4 << 20  # bytes hashed at once; places must fit 24 bits
+SLICE = 1 << 20  # bytes hashed at once, at some 100 bytes of working memory each; places must fit 24 bits
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
