@@ -62,15 +62,18 @@ def orphans(f: DataFrame, star: dict[str, DataFrame]) -> DataFrame:
         ("missing_date", "txn_date", "dim_date", "date"),
     ]
 
-    def missing(issue, key, dim, dim_key):
-        per_key = f.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        known = star[dim].select(F.col(dim_key).alias(key))
-        lost = per_key.join(known, key, "left_anti")
-        return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_count")).select(
-            F.lit(issue).alias("issue"), "orphan_count"
-        )
-
-    return reduce(DataFrame.unionByName, [missing(*k) for k in keys])
+    # One scan: a row per key kind, combined per (kind, key) before the shuffle.
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(issue).alias("issue"), F.col(key).cast("string").alias("key"))
+        for issue, key, _, _ in keys
+    ]))
+    per_key = f.select(cells.alias("c")).groupBy("c.issue", "c.key").agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(DataFrame.unionByName, [
+        star[dim].select(F.lit(issue).alias("issue"), F.col(dim_key).cast("string").alias("key"))
+        for issue, _, dim, dim_key in keys
+    ]).withColumn("known", F.lit(True))
+    return per_key.join(known.distinct(), ["issue", "key"], "left").groupBy("issue").agg(
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("orphan_count"))
 
 
 def duplicate_ids(f: DataFrame, k: int = 10) -> DataFrame:

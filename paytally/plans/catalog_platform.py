@@ -90,9 +90,13 @@ def _etl():
         {dbl('amount')} AS amount, status"""
     add("etl_02_incremental_append",
         lambda st: etl.incremental_append(loaded(st), st[FACT]).select(*cols),
-        sql(f"""SELECT {shown} FROM old UNION ALL SELECT {shown} FROM fact_transactions n
-        WHERE n.txn_date > (SELECT max(txn_date) FROM old)
-        AND NOT EXISTS (SELECT 1 FROM old o WHERE o.transaction_id = n.transaction_id)""",
+        sql(f"""SELECT {shown} FROM old UNION ALL SELECT {shown} FROM (
+        SELECT n.* FROM fact_transactions n WHERE n.txn_date > (SELECT max(txn_date) FROM old)
+        AND NOT EXISTS (SELECT 1 FROM old o WHERE o.transaction_id = n.transaction_id)
+        QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY txn_ts DESC, txn_date DESC,
+          customer_id DESC, merchant_id DESC, channel_id DESC, amount DESC, mdr_pct DESC, cashback_amt DESC,
+          processing_fee_amt DESC, status DESC, retry_count DESC, settlement_date DESC, refunded_amt DESC,
+          device_os DESC, city_id DESC, acquirer_id DESC) = 1)""",
             old=f"SELECT * FROM fact_transactions WHERE txn_date < DATE '{LOADED}'"))
 
     def refunds(st):
@@ -147,12 +151,22 @@ def _quality():
         ("cashback_exceeds_mdr", f"cashback_amt > {MDR}")]))
     orphans = " UNION ALL ".join(
         f"""SELECT 'missing_{n}' AS issue, count(*) AS orphan_count FROM fact_transactions t
-        LEFT JOIN dim_{n} d ON t.{k} = d.{dk} WHERE d.{dk} IS NULL"""
-        for n, k, dk in (("customer", "customer_id", "customer_id"),
-                         ("merchant", "merchant_id", "merchant_id"),
-                         ("channel", "channel_id", "channel_id"), ("city", "city_id", "city_id"),
-                         ("date", "txn_date", "date")))
-    add("dq_04_orphans", lambda st: quality.orphans(st[FACT], st), sql(orphans))
+        LEFT JOIN {d} d ON t.{k} = d.{dk} WHERE d.{dk} IS NULL"""
+        for n, d, k, dk in (("customer", "dim_customer", "customer_id", "customer_id"),
+                            ("merchant", "dim_merchant", "merchant_id", "merchant_id"),
+                            ("channel", "few_channels", "channel_id", "channel_id"),
+                            ("city", "dim_city", "city_id", "city_id"),
+                            ("date", "short_calendar", "txn_date", "date")))
+
+    def gaps(st):
+        # The star has no orphans, so these checks leave out a channel and the last days.
+        return {t: st[t] for t in ("dim_customer", "dim_merchant", "dim_city")} | {
+            "dim_channel": st["dim_channel"].filter("channel_id < 5"),
+            "dim_date": st["dim_date"].filter("date <= DATE '2001-06-30'")}
+
+    short = "SELECT * FROM dim_date WHERE date <= DATE '2001-06-30'"
+    add("dq_04_orphans", lambda st: quality.orphans(st[FACT], gaps(st)), sql(
+        orphans, few_channels="SELECT * FROM dim_channel WHERE channel_id < 5", short_calendar=short))
     add("dq_05_duplicate_ids", fact(quality.duplicate_ids), sql(
         """SELECT transaction_id, count(*) AS dup_count FROM fact_transactions GROUP BY 1
         HAVING count(*) > 1 ORDER BY dup_count DESC, transaction_id LIMIT 10"""))
@@ -170,9 +184,22 @@ def _quality():
         f"""SELECT {text('min(txn_date)')} AS earliest_txn, {text('max(txn_date)')} AS latest_txn,
         count(DISTINCT txn_date) AS distinct_dates, count(DISTINCT {MONTH}) AS distinct_months
         FROM fact_transactions"""))
-    add("dq_10_dates_not_in_dim", with_dims(quality.dates_not_in_dim, "dim_date"), sql(
+    add("dq_10_dates_not_in_dim", lambda st: quality.dates_not_in_dim(st[FACT], gaps(st)["dim_date"]), sql(
         """SELECT count(DISTINCT txn_date) AS fact_dates_not_in_dim FROM fact_transactions f
-        LEFT JOIN dim_date d ON f.txn_date = d.date WHERE d.date IS NULL"""))
+        LEFT JOIN short_calendar d ON f.txn_date = d.date WHERE d.date IS NULL""", short_calendar=short))
+    for name, dim, key in (("channels", "dim_channel", "channel_id"), ("dates", "dim_date", "date")):
+        # Nothing may fall out of an inner join with a dimension.
+        def lossless(st, dim=dim, key=key):
+            keys = st[dim].select(F.col(key).alias("_key"))
+            fact_key = F.col("txn_date" if key == "date" else key)
+            return st[FACT].groupBy(fact_key.alias("_key")).agg(F.count(F.lit(1)).alias("n")).join(
+                keys, "_key", "left").agg(F.sum("n").alias("rows")).crossJoin(F.broadcast(  # one row each
+                    st[FACT].join(keys.withColumnRenamed("_key", "_k"), fact_key == F.col("_k")).agg(
+                        F.count(F.lit(1)).alias("joined"))))
+
+        add(f"src_06_lossless_{name}", lossless, sql(
+            f"""SELECT (SELECT count(*) FROM fact_transactions) AS rows, count(*) AS joined
+            FROM fact_transactions f JOIN {dim} d ON f.{'txn_date' if key == 'date' else key} = d.{key}"""))
     add("dq_11_mdr_range", fact(quality.mdr_range), sql(
         f"""SELECT {dbl('min(mdr_pct)')} AS min_mdr, {dbl('max(mdr_pct)')} AS max_mdr,
         {ratio('sum(mdr_pct)', N, 6)} AS avg_mdr,

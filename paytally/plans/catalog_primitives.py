@@ -117,10 +117,12 @@ def _joins():
         GROUP BY 1, 2"""))
 
     def semi(st):
-        busy = st[FACT].groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 40")
-        kept = successful(st[FACT]).join(busy, "customer_id", "left_semi")
-        return kept.groupBy("device_os").agg(
-            F.count(F.lit(1)).alias("txns"), F.countDistinct("customer_id").alias("customers"))
+        # The fact comes down to one row per customer and device before anything is joined.
+        cells = st[FACT].groupBy("customer_id", "device_os").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"))
+        total = F.sum("n").over(Window.partitionBy("customer_id"))
+        return cells.withColumn("total", total).filter("total >= 40 and ok > 0").groupBy("device_os").agg(
+            F.sum("ok").alias("txns"), F.count(F.lit(1)).alias("customers"))
 
     add("jn_07_semi_join", semi, sql(
         f"""SELECT device_os, {N} AS txns, {USERS} AS customers FROM s WHERE customer_id IN (
@@ -232,10 +234,10 @@ def _windows_and_sets():
         FROM s WHERE cashback_amt {op} 0""" for g, op in (("cashback", ">"), ("none", "<=")))))
 
     def both_groups(f):
-        s = successful(f)
-        with_cb = s.filter("cashback_amt > 0").select("customer_id")
-        without = s.filter("cashback_amt = 0").select("customer_id")
-        return with_cb.intersect(without)
+        # One row per customer after the map-side combine; no join of raw payments.
+        return successful(f).groupBy("customer_id").agg(
+            F.max(F.col("cashback_amt") > 0).alias("_with"), F.max(F.col("cashback_amt") == 0).alias("_without")
+        ).filter("_with and _without").select("customer_id")
 
     add("st_02_customers_in_both_groups", fact(both_groups), sql(
         """SELECT customer_id FROM s WHERE cashback_amt > 0 INTERSECT

@@ -29,7 +29,7 @@ fact_transactions AS (
   c.c_nationkey AS city_id, l.l_suppkey % 10 AS acquirer_id
  FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey
  JOIN customer c ON o.o_custkey=c.c_custkey),
-dim_channel AS (SELECT * FROM (VALUES (1,'UPI'),(2,'CARD'),(3,'WALLET'),(4,'NETBANKING'))
+dim_channel AS (SELECT * FROM (VALUES (1,'UPI'),(2,'CARD'),(3,'WALLET'),(4,'NETBANKING'),(5,'EMI'))
   t(channel_id, channel_name)),
 dim_merchant AS (SELECT p_partkey AS merchant_id, p_type AS category, p_name AS merchant_name,
   p_size % 25 AS city_id FROM part),
@@ -43,7 +43,7 @@ dim_customer AS (SELECT c_custkey AS customer_id,
 dim_date AS (SELECT CAST(d AS DATE) AS date, year(d) AS year, month(d) AS month, day(d) AS day,
   weekofyear(d) AS week_of_year, dayofweek(d) IN (0,6) AS is_weekend,
   strftime(d,'%m-%d') IN ('01-26','08-15','10-02','12-25') AS holiday_flag
-  FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY) t(d)),
+  FROM generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(d)),
 s AS (SELECT *, mdr_pct*amount*0.01 AS mdr,
   mdr_pct*amount*0.01 - cashback_amt - processing_fee_amt AS net
   FROM fact_transactions WHERE status='SUCCESS')"""
