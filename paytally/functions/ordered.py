@@ -104,23 +104,25 @@ def rows_at_ranks(
     )
 
 
-Cut = tuple[Column, int, str]  # value, number of cuts, rank of cut t as SQL over n and t
+Cut = tuple[Column, int, str, int]  # value, number of cuts, rank of cut t as SQL over n and t, NULL side
 
 
 def by_ntile(value: str, k: int, desc: bool = False) -> Cut:
-    """SQL ``NTILE(k)``: the first ``n mod k`` tiles get one extra row."""
-    return -F.col(value) if desc else F.col(value), k - 1, f"t * (n div {k}) + least(t, n % {k})"
+    """SQL ``NTILE(k)``: the first ``n mod k`` tiles get one extra row. NULL is the lowest value: first in
+    ascending order, last in descending order."""
+    rank = f"t * (n div {k}) + least(t, n % {k})"
+    return (-F.col(value), k - 1, rank, 1) if desc else (F.col(value), k - 1, rank, -1)
 
 
 def by_rank_bin(value: str, k: int) -> Cut:
-    """Equal-count bins on first-come ranks with right-closed edges at 1 + (n-1)*t/k."""
-    return F.col(value), k - 1, f"1 + ((n - 1) * t) div {k}"
+    """Equal-count bins on first-come ranks with right-closed edges at 1 + (n-1)*t/k; NULL first."""
+    return F.col(value), k - 1, f"1 + ((n - 1) * t) div {k}", -1
 
 
 def by_rank_share(value: str, shares: list[str]) -> Cut:
-    """Tiers bounded by the ranks floor(n * share), highest values first."""
+    """Tiers bounded by the ranks floor(n * share), highest values first, NULL last."""
     cases = " ".join(f"WHEN {i + 1} THEN {s}BD" for i, s in enumerate(shares))
-    return -F.col(value), len(shares), f"floor(n * CASE t {cases} END)"
+    return -F.col(value), len(shares), f"floor(n * CASE t {cases} END)", 1
 
 
 def tiled(df: DataFrame, tie: str, **tiles: Cut) -> DataFrame:
@@ -131,16 +133,20 @@ def tiled(df: DataFrame, tie: str, **tiles: Cut) -> DataFrame:
     """
     specs = list(tiles.items())
     # One array makes Spark widen the values to their common type without loss.
-    values = F.array(*[value for _, (value, _, _) in specs])
+    values = F.array(*[value for _, (value, _, _, _) in specs])
+    sides = F.element_at(F.array(*[F.lit(side) for _, (_, _, _, side) in specs]), F.col("_m") + 1)
     pairs = df.select(F.posexplode(values).alias("_m", "_v"), F.col(tie).alias("_t"))
-    parts = in_ranges(pairs.withColumn("_w", F.lit(1).cast("long")), "_m", "_v", "_t")
+    kind = pairs.schema["_v"].dataType
+    # NULLs take the side of their entry through ``_z``, which leads the order.
+    pairs = pairs.withColumns({"_z": F.when(F.col("_v").isNull(), sides).otherwise(0), "_w": F.lit(1).cast("long")})
+    parts = in_ranges(pairs, "_m", "_z", "_v", "_t")
     wanted = F.array(*[
         F.struct(F.lit(m).alias("m"), F.lit(t).alias("t"))
-        for m, (_, (_, slots, _)) in enumerate(specs) for t in range(1, slots + 1)
+        for m, (_, (_, slots, _, _)) in enumerate(specs) for t in range(1, slots + 1)
     ])
     rank = F.coalesce(*[
         F.when(F.col("slot.m") == m, F.expr(sql) + m * F.col("n"))
-        for m, (_, (_, _, sql)) in enumerate(specs)
+        for m, (_, (_, _, sql, _)) in enumerate(specs)
     ])
     ranks = (
         parts.agg((F.count(F.lit(1)) / len(specs)).cast("long").alias("n"))
@@ -150,25 +156,27 @@ def tiled(df: DataFrame, tie: str, **tiles: Cut) -> DataFrame:
         .filter(F.col("rank") > F.col("slot.m") * F.col("n"))  # rank 0 cuts nothing
         .select("slot", "rank")
     )
-    found = rows_at_ranks(parts, ["_m", "_v", "_t"], ranks)
+    found = rows_at_ranks(parts, ["_m", "_z", "_v", "_t"], ranks)
 
     def cut_of(m: int, t: int) -> Column:
         hit = (F.col("slot.m") == m) & (F.col("slot.t") == t)
-        return F.max(F.when(hit, F.struct("_v", "_t"))).alias(f"_cut_{m}_{t}")
+        return F.max(F.when(hit, F.struct("_z", "_v", "_t"))).alias(f"_cut_{m}_{t}")
 
     cuts = found.agg(*[
-        cut_of(m, t) for m, (_, (_, slots, _)) in enumerate(specs) for t in range(1, slots + 1)
+        cut_of(m, t) for m, (_, (_, slots, _, _)) in enumerate(specs) for t in range(1, slots + 1)
     ])
 
-    def tile(m: int, value: Column, slots: int) -> Column:
+    def tile(m: int, value: Column, slots: int, side: int) -> Column:
+        # Structs compare field by field with NULL equal to NULL, so no comparison is unknown.
+        own = F.struct(F.when(value.isNull(), side).otherwise(0).alias("_z"), value.cast(kind).alias("_v"),
+                       F.col(tie).alias("_t"))
         number = F.lit(1)
         for t in range(1, slots + 1):
             cut = F.col(f"_cut_{m}_{t}")  # NULL for a cut at rank 0: every row lies after it
-            upto = (value < cut["_v"]) | ((value == cut["_v"]) & (F.col(tie) <= cut["_t"]))
-            number = number + F.when(upto, 0).otherwise(1)
+            number = number + F.when(own <= cut, 0).otherwise(1)
         return number
 
-    numbers = {out: tile(m, value, slots) for m, (out, (value, slots, _)) in enumerate(specs)}
+    numbers = {out: tile(m, value, slots, side) for m, (out, (value, slots, _, side)) in enumerate(specs)}
     return df.crossJoin(F.broadcast(cuts)).withColumns(numbers).drop(*cuts.columns)  # one row
 
 

@@ -109,3 +109,12 @@ def test_checkpoint_uses_the_session_folder(spark):
     kept = checkpointed(frame(spark, [1, 2]))
     assert spark.sparkContext.getCheckpointDir() is not None
     assert "ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("values", [[None, None, 1, 2, 3, 4], [None] * 5, [3, None, 3, 1, None, 3, 2], [None] * 30 + HOT])
+@pytest.mark.parametrize("desc", [False, True])
+def test_ntile_of_nulls_is_that_of_sql(spark, values, desc):
+    df = frame(spark, values)
+    side = "DESC NULLS LAST" if desc else "ASC NULLS FIRST"
+    want = rows(df.selectExpr("id", f"ntile(3) OVER (ORDER BY x {side}, id) AS t"), "id")
+    assert rows(tiled(df, "id", t=by_ntile("x", 3, desc)).select("id", "t"), "id") == want
