@@ -37,8 +37,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = safe(1.0 + term / c)
             value *= c * d
         if abs(value - before) <= 1e-15 * abs(value):
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta fraction did not converge: a={a}, b={b}, x={x}")
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
@@ -55,11 +55,21 @@ def beta_cdf(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+def student_tail(t: float, df: float) -> float:
+    """Two-sided tail of Student's t. Where the second term of Fisher's expansion around the normal tail leaves
+    less than about 1e-12, the expansion is used: the beta function loses digits for large ``df``."""
+    t = abs(t)
+    if t**4 * (t**2 + 1) ** 2 < 1e-6 * df**2 and df > 1e3:
+        density = math.exp(-t * t / 2.0) / math.sqrt(2.0 * math.pi)
+        first = t * (t**2 + 1) / (4.0 * df)
+        second = t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / (96.0 * df**2)
+        return min(1.0, max(0.0, math.erfc(t / math.sqrt(2.0)) + 2.0 * density * (first + second)))
+    return beta_cdf(df / 2.0, 0.5, df / (df + t * t))
+
+
 @F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     def p(v, n):
-        if pd.isna(v) or pd.isna(n):
-            return None
-        return beta_cdf(n / 2.0, 0.5, n / (n + v * v))
+        return None if pd.isna(v) or pd.isna(n) else student_tail(v, n)
 
     return pd.Series([p(v, n) for v, n in zip(t, df)], dtype="float64")

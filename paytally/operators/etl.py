@@ -26,6 +26,20 @@ def daily_rollup(f: DataFrame) -> DataFrame:
     )
 
 
+def one_per_id(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per ``transaction_id``: the last by ``order`` (a column of the batch), ties and a missing order
+    by the other columns from left to right. Rows with a NULL id are dropped: nothing can match them."""
+    known = batch.filter("transaction_id is not null")
+    rest = [c for c in batch.columns if c != "transaction_id"]
+    if not rest:
+        return known.distinct()
+    lead = [order] if order else []
+    rank = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*lead, *rest])])
+    last = F.max_by(F.struct(*rest), rank).alias("_row")
+    return known.groupBy("transaction_id").agg(last).select(
+        *[F.col("transaction_id" if c == "transaction_id" else f"_row.{c}").alias(c) for c in batch.columns])
+
+
 def _loaded_ids(f: DataFrame, keys: DataFrame) -> DataFrame:
     """The ids of ``keys`` that the fact holds. A batch is small against the fact, so Spark broadcasts
     its ids into the scan below the broadcast threshold and shuffles only beyond it."""
@@ -33,25 +47,28 @@ def _loaded_ids(f: DataFrame, keys: DataFrame) -> DataFrame:
     return f.select("transaction_id").join(ids, "transaction_id", "left_semi").distinct()
 
 
-def new_rows(f: DataFrame, staging: DataFrame) -> DataFrame:
-    """Staging rows after the last loaded date whose id is not loaded yet."""
+def new_rows(f: DataFrame, staging: DataFrame, order: str | None = None) -> DataFrame:
+    """Staging rows after the last loaded date whose id is not loaded yet, one per id (see one_per_id)."""
     mark = f.agg(F.max("txn_date").alias("_mark"))
     newer = staging.crossJoin(F.broadcast(mark)).filter(  # one row
         F.col("_mark").isNull() | (F.col("txn_date") > F.col("_mark"))
     ).select(*staging.columns)
+    newer = one_per_id(newer, order)
     return newer.join(_loaded_ids(f, newer), "transaction_id", "left_anti").select(*staging.columns)
 
 
-def incremental_append(f: DataFrame, staging: DataFrame) -> DataFrame:
-    return f.unionByName(new_rows(f, staging))
+def incremental_append(f: DataFrame, staging: DataFrame, order: str | None = None) -> DataFrame:
+    return f.unionByName(new_rows(f, staging, order))
 
 
-def upsert_refunds(f: DataFrame, updates: DataFrame) -> DataFrame:
+def upsert_refunds(f: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Set ``refunded_amt`` and ``settlement_date`` of known ids and add unknown ids.
 
-    ``updates`` carries at most one row per id and any subset of the fact columns. A left join and a
-    union instead of a full outer join leave the fact unshuffled while the updates can be broadcast.
+    ``updates`` carries any subset of the fact columns; of rows with one id the last counts (see
+    one_per_id). A left join and a union instead of a full outer join leave the fact unshuffled while the
+    updates can be broadcast.
     """
+    updates = one_per_id(updates, order)
     changed = [c for c in ("refunded_amt", "settlement_date") if c in updates.columns]
     new = updates.select(
         "transaction_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed]
