@@ -52,9 +52,9 @@ def map_texts(docs: DataFrame, schema: str, per_batch: Callable[[list, list[byte
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = per_batch(batch.column(0).to_pylist(),
-                             batch.column(1).cast(pa.binary()).to_pylist())
+        for part in sliced(batches):
+            rows = per_batch(part.column(0).to_pylist(),
+                             part.column(1).cast(pa.binary()).to_pylist())
             if rows:
                 yield _batch(rows, arrow)
         if finish is not None and (rows := finish()):
@@ -63,6 +63,13 @@ def map_texts(docs: DataFrame, schema: str, per_batch: Callable[[list, list[byte
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds the Python objects alive at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _type(kind: str):
     from pyspark.sql.types import _parse_datatype_string
 

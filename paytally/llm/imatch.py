@@ -161,7 +161,7 @@ def fingerprint_documents(docs: DataFrame, low: float = 0.002, high: float = 0.2
     ids = rows.select(F.col("doc_id").cast("double").alias("d")).filter("d is not null")
     cuts = ids.approxQuantile("d", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     ordered, parts = _in_order(rows, sorted({int(c) for c in cuts}))
-    dealt = ordered.repartition(parts, "_bucket").sortWithinPartitions(
+    dealt = ordered.repartitionByRange(parts, "_bucket").sortWithinPartitions(
         "_bucket", "_tail", F.col("doc_id").asc_nulls_first(), "text")
     out = StructType([docs.schema[id_col]]) if id_col == "doc_id" else StructType([rows.schema["doc_id"]])
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"),

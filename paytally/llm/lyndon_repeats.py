@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from paytally.llm.common import map_texts, narrow, stored
+from paytally.llm.common import map_texts, narrow, sliced, stored
 
 SLICE = 1 << 20  # bytes hashed at once, at some 100 bytes of working memory each; places must fit 24 bits
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -376,7 +376,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int, crowd: int) -> DataF
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made: list[tuple] = []
             for doc, key, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
@@ -413,7 +413,7 @@ def _by_block(cut: DataFrame, blocks: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block and row[0] != block[0][0]:
                     if made := compare(block):
@@ -435,7 +435,7 @@ def _cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made: list[tuple] = []
             for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
