@@ -175,10 +175,12 @@ def plain_ctw(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("frequent", [200_000, 3])
-def test_context_tree_scores(docs_of, frequent):
+@pytest.mark.parametrize("frequent, codes, split, bucket", [
+    (200_000, 500_000, 3, 100_000), (3, 500_000, 2, 50), (3, 40, 1, 100), (200_000, 0, 3, 20)])
+def test_context_tree_scores(docs_of, frequent, codes, split, bucket):
     rows = [*[r for r in HARD if r[0] not in (6, 10)], *[(100 + i, f"The cat {i % 4} sat. on THE mat {i}") for i in range(30)]]
-    got = context_tree.score(docs_of(rows, extra=True), depth=3, frequent=frequent).collect()
+    got = context_tree.score(docs_of(rows, extra=True), depth=3, frequent=frequent, frequent_codes=codes,
+                             split=split, codes_per_bucket=bucket).collect()
     lowered = [text_of(t).encode().lower() for _, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
     train = [t for t, h in zip(lowered, held, strict=True) if not h]
@@ -202,15 +204,14 @@ def test_context_tree_probabilities_add_up():
     rng = random.Random(3)
     text = bytes(rng.choice(b"abab c") for _ in range(4000))
     code, _ = context_tree.codes([bytes([255]) * 2 + text], 2)
-    tables = []
-    for d in range(3):
-        key, n = np.unique(code & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
-        tables.append((key, n))
-    tree = context_tree.Tree(tables)
+    tree = context_tree.Tree(*context_tree.nodes(*np.unique(code, return_counts=True)), 0, 2)
+    tree.mix(np.ones(len(tree.keys[0])), np.zeros(len(tree.keys[0])))
     for context in (0x6162, 0x7A7A, 0xFFFF):
         every = np.array([context << 8 | b for b in range(256)], dtype=np.uint64)
-        assert (10 ** tree.walk(every)).sum() == pytest.approx(1)
-        assert tree.log10(every) == pytest.approx(tree.walk(every), rel=1e-5)
+        values = context_tree.walk(every, tree.keys, tree.one)
+        assert (10 ** values).sum() == pytest.approx(1)
+        found, there = context_tree.Lookup(every[::2], values[::2]).find(every)
+        assert there.tolist() == [True, False] * 128 and found[::2].tolist() == values[::2].tolist()
 
 
 # 4: suffix arrays and repeats
