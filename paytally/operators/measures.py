@@ -39,7 +39,7 @@ def users(f: DataFrame) -> DataFrame:
     months = behavior.user_days(f).groupBy(month_start().alias("m")).agg(
         F.count(F.lit(1)).alias("user_days"),
         F.sum("n").alias("txns"),
-        F.countDistinct("txn_date").alias("days"),
+        behavior.days_of_month("txn_date").alias("days"),
         F.countDistinct("customer_id").alias("users"),
     )
     trailing = behavior.trailing_users(f, 30).select(
