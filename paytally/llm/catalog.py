@@ -1,4 +1,4 @@
-"""Queries over the ten operators, by their contracts; SQL counterparts where SQL can express them."""
+"""Queries over the operators, by their contracts; SQL counterparts where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paytally.llm import (
-    context_tree, decontaminate, hash_tree, imatch, lyndon_repeats, packing, quality_rules, simhash_pivots,
-    surrogates, transcripts,
+    collocations, context_tree, decontaminate, fill_middle, hash_tree, imatch, lyndon_repeats, packing,
+    quality_rules, simhash_pivots, surrogates, transcripts, warc,
 )
 from paytally.llm.common import documents
+from paytally.llm.sqltext import ORACLE
 
 SURROGATE_KEY = "paytally"
 
@@ -65,12 +66,25 @@ def op10_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), capacity=1024, end_id=2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir), threshold=30, order=4, top=2_000, cover=80)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(documents(spark, sf_dir), plain_from=90, spm_below=20))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_rule_ensemble, op2_surrogates, op3_context_tree, op4_lyndon_repeats, op5_imatch, op6_simhash_pivots,
-        op7_transcripts, op8_hash_tree, op9_prefix_join, op10_bound_packing)
+        op7_transcripts, op8_hash_tree, op9_prefix_join, op10_bound_packing, op11_collocations, op12_warc,
+        op13_fill_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -13,14 +13,23 @@ from pyspark.sql.types import StructField, StructType
 from paytally.functions.ordered import checkpoint_dir
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system of ``path`` delete it when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a compressed table in the shared checkpoint folder and read it back.
 
-    Lineage ends at the table, so a lost executor costs no more than its unfinished tasks.
+    Lineage ends at the table, so a lost executor costs no more than its unfinished tasks. The table
+    goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
