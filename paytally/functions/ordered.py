@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system of ``path`` delete it when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder that goes when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the checkpoint folder the session names."""
     checkpoint_dir(df.sparkSession)

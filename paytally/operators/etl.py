@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import SUCCESS, net_revenue
+from paytally.functions.ordered import checkpointed
 
 
 def daily_rollup(f: DataFrame) -> DataFrame:
@@ -82,3 +83,79 @@ def upsert_refunds(f: DataFrame, updates: DataFrame, order: str | None = None) -
     kept = f.join(new, "transaction_id", "left").select(*[value(c) for c in f.columns])
     fresh = updates.join(_loaded_ids(f, updates), "transaction_id", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True).select(*f.columns)
+
+
+# --- stored fact -------------------------------------------------------------------------------
+
+PERIOD = "period"
+GRAINS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
+
+
+def with_period(f: DataFrame, grain: str = "day") -> DataFrame:
+    """Add ``period``, the text of the payment's day, month or year by which a stored fact is partitioned."""
+    return f.withColumn(PERIOD, F.date_format("txn_date", GRAINS[grain]))
+
+
+def save_by_period(f: DataFrame, path: str, grain: str = "day") -> None:
+    """Store the fact as Parquet, one folder per period and at most one file per period and task.
+
+    Rows are dealt by period and id, so a period that holds a third of all rows is written by all tasks.
+    """
+    n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.pmod(F.xxhash64("transaction_id"), F.lit(max(1, n // 8)))
+    with_period(f, grain).repartition(n, F.col(PERIOD), dealt).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
+
+
+def _within(periods: list[str | None]) -> Column:
+    """Literal condition on the partition column, so that the scan lists those folders only."""
+    known = F.col(PERIOD).isin(*[p for p in periods if p is not None])
+    return known | F.col(PERIOD).isNull() if None in periods else known
+
+
+def stored_fact(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path`` with ``period`` as text (a period such as 2025 would be read as a number)."""
+    table = spark.read.parquet(path)
+    return table.withColumn(PERIOD, F.col(PERIOD).cast("string"))
+
+
+def merge_refunds(spark: SparkSession, path: str, updates: DataFrame, grain: str = "day",
+                  order: str | None = None) -> DataFrame:
+    """Merge a batch of late refunds (see upsert_refunds) into the fact stored at ``path``.
+
+    Only the periods of the batch are read, and of those only the ones where a value differs or an id is
+    new are replaced, so a batch that is merged again changes no file. The batch is computed once. A
+    batch without ``txn_date`` has it looked up by id, a scan of two columns. Merged periods are
+    checkpointed before they replace the old ones. Returns period, updated and inserted rows.
+    """
+    fact = stored_fact(spark, path)
+    updates = one_per_id(updates, order)
+    if "txn_date" not in updates.columns:
+        dates = fact.select("transaction_id", "txn_date").join(
+            updates.select("transaction_id"), "transaction_id", "left_semi").dropDuplicates(["transaction_id"])
+        updates = updates.join(dates, "transaction_id", "left")
+    updates = checkpointed(with_period(updates, grain))
+    # Periods are days, months or years of the calendar: few by nature.
+    old = fact.filter(_within([r[0] for r in updates.select(PERIOD).distinct().collect()]))
+    values = [c for c in ("refunded_amt", "settlement_date") if c in updates.columns]
+    new = updates.select("transaction_id", *[F.col(c).alias(f"_new_{c}") for c in values])
+    held = old.select("transaction_id", PERIOD, *values).join(new, "transaction_id")
+    differs = F.lit(False)
+    for c in values:
+        kind = fact.schema[c].dataType
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_new_{c}").cast(kind))
+    changed = held.filter(differs).groupBy(PERIOD).agg(
+        F.count(F.lit(1)).alias("updated"), F.lit(0).cast("long").alias("inserted"))
+    fresh = updates.select("transaction_id", PERIOD).join(
+        old.select("transaction_id"), "transaction_id", "left_anti").groupBy(PERIOD).agg(
+        F.lit(0).cast("long").alias("updated"), F.count(F.lit(1)).alias("inserted"))
+    report = checkpointed(changed.unionByName(fresh).groupBy(PERIOD).agg(
+        F.sum("updated").alias("updated"), F.sum("inserted").alias("inserted")))
+    touched = [r[0] for r in report.select(PERIOD).collect()]
+    if touched:
+        batch = updates.filter(_within(touched))
+        merged = upsert_refunds(fact.filter(_within(touched)), batch)
+        kinds = {f.name: f.dataType for f in fact.schema}
+        checkpointed(merged.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])).write.mode(
+            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
+        spark.catalog.refreshByPath(path)
+    return report

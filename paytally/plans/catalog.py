@@ -46,9 +46,11 @@ def plain(df: DataFrame) -> DataFrame:
 
 @cache
 def load() -> dict[str, tuple[Query, str | None]]:
-    from paytally.plans import catalog_customers, catalog_platform, catalog_primitives, catalog_stats
+    from paytally.plans import (
+        catalog_customers, catalog_loading, catalog_platform, catalog_primitives, catalog_stats,
+    )
 
-    for module in (catalog_platform, catalog_customers, catalog_stats, catalog_primitives):
+    for module in (catalog_platform, catalog_customers, catalog_stats, catalog_primitives, catalog_loading):
         module.register()
     return _QUERIES
 

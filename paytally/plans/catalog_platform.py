@@ -18,6 +18,26 @@ FACT = "fact_transactions"
 LOADED = "2000-01-01"
 
 
+LATE_REFUNDS = """SELECT transaction_id, max(amount) AS refunded_amt,
+    CAST(max(settlement_date) + 7 AS DATE) AS settlement_date, 'REFUND' AS status
+    FROM fact_transactions WHERE status <> 'SUCCESS' GROUP BY 1
+    UNION ALL SELECT -city_id-1, max(amount), max(settlement_date), 'REFUND'
+    FROM fact_transactions GROUP BY city_id"""
+
+
+def late_refunds(f):
+    """A batch: refunds of unsuccessful payments, and one unseen payment per city."""
+    late = f.filter("status <> 'SUCCESS'").groupBy("transaction_id").agg(
+        F.max("amount").alias("refunded_amt"),
+        F.date_add(F.max("settlement_date"), 7).alias("settlement_date"),
+    ).withColumn("status", F.lit("REFUND"))
+    fresh = f.groupBy("city_id").agg(
+        F.max("amount").alias("refunded_amt"), F.max("settlement_date").alias("settlement_date")
+    ).select((-F.col("city_id") - 1).cast("long").alias("transaction_id"), "refunded_amt",
+             "settlement_date", F.lit("REFUND").alias("status"))
+    return late.unionByName(fresh)
+
+
 def fact(query):
     return lambda st: query(st[FACT])
 
@@ -99,20 +119,8 @@ def _etl():
           device_os DESC, city_id DESC, acquirer_id DESC) = 1)""",
             old=f"SELECT * FROM fact_transactions WHERE txn_date < DATE '{LOADED}'"))
 
-    def refunds(st):
-        # Refunds of unsuccessful payments, and one unseen payment per city.
-        late = st[FACT].filter("status <> 'SUCCESS'").groupBy("transaction_id").agg(
-            F.max("amount").alias("refunded_amt"),
-            F.date_add(F.max("settlement_date"), 7).alias("settlement_date"),
-        ).withColumn("status", F.lit("REFUND"))
-        fresh = st[FACT].groupBy("city_id").agg(
-            F.max("amount").alias("refunded_amt"), F.max("settlement_date").alias("settlement_date")
-        ).select((-F.col("city_id") - 1).cast("long").alias("transaction_id"), "refunded_amt",
-                 "settlement_date", F.lit("REFUND").alias("status"))
-        return late.unionByName(fresh)
-
     add("etl_03_upsert_refunds",
-        lambda st: etl.upsert_refunds(st[FACT], refunds(st)).select(
+        lambda st: etl.upsert_refunds(st[FACT], late_refunds(st[FACT])).select(
             "transaction_id", "refunded_amt", "settlement_date", "status", "amount"),
         sql(f"""SELECT coalesce(f.transaction_id, u.transaction_id) AS transaction_id,
         {dbl('CASE WHEN u.transaction_id IS NOT NULL THEN u.refunded_amt ELSE f.refunded_amt END')}
@@ -122,11 +130,7 @@ def _etl():
         CASE WHEN f.transaction_id IS NOT NULL THEN f.status ELSE u.status END AS status,
         {dbl('f.amount')} AS amount
         FROM fact_transactions f FULL JOIN u ON f.transaction_id = u.transaction_id""",
-            u="""SELECT transaction_id, max(amount) AS refunded_amt,
-            CAST(max(settlement_date) + 7 AS DATE) AS settlement_date, 'REFUND' AS status
-            FROM fact_transactions WHERE status <> 'SUCCESS' GROUP BY 1
-            UNION ALL SELECT -city_id-1, max(amount), max(settlement_date), 'REFUND'
-            FROM fact_transactions GROUP BY city_id"""))
+            u=LATE_REFUNDS))
     counts = " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS total_rows FROM {t}"
         for t in ("dim_date", "dim_channel", "dim_city", "dim_customer", "dim_merchant", FACT))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
@@ -13,7 +15,7 @@ from paytally.functions.expr import (
 from paytally.operators import (
     behavior, cashback, channel, churn, clv, cohort, geo, kpi, merchant, rfm, whatif,
 )
-from paytally.sources.readers import save_table
+from paytally.sources.readers import save_table, values
 
 Star = Mapping[str, DataFrame]
 
@@ -90,6 +92,63 @@ def export_all(star: Star, out: str, fmt: str = "csv") -> list[str]:
     return list(EXTRACTS)
 
 
+# --- publishing --------------------------------------------------------------------------------
+
+CURRENT = "CURRENT"
+
+
+def _point(spark: SparkSession, out: str, run: str) -> None:
+    """Write a small file and rename it to ``out/CURRENT``; an old one is replaced in the same step."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    draft, current = hadoop.Path(f"{out}/.{CURRENT}-{run}"), hadoop.Path(f"{out}/{CURRENT}")
+    where = draft.getFileSystem(conf)
+    stream = where.create(draft, True)
+    stream.write(bytearray(run.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(where.makeQualified(draft).toUri(), conf).rename(draft, current, options)
+
+
+def publish(star: Star, out: str, fmt: str = "parquet", names: list[str] | None = None,
+            sets: Mapping[str, Callable[[Star], DataFrame]] = EXTRACTS, parallel: int = 4) -> str:
+    """Write a whole run of extracts and only then make it the current one; returns the run's name.
+
+    Sets go to ``out/runs/<run>/<name>``, a few at a time; rows are counted by the job that writes
+    them. The manifest follows, and last the file ``out/CURRENT`` that names the run is replaced by a
+    rename. If anything fails before that, readers keep the old run whole.
+    """
+    spark, run = star[FACT].sparkSession, uuid.uuid4().hex
+    base = f"{out}/runs/{run}"
+
+    def write(name: str) -> tuple[str, str, int]:
+        seen = Observation()
+        save_table(sets[name](star).observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/{name}", fmt=fmt)
+        return name, fmt, seen.get["n"]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(write, list(sets) if names is None else names))
+    values(spark, rows, "name string, format string, n_rows bigint").coalesce(1).write.json(f"{base}/_manifest")
+    _point(spark, out, run)
+    return run
+
+
+def _run(spark: SparkSession, out: str) -> str:
+    return f"{out}/runs/{spark.read.text(f'{out}/{CURRENT}').first()[0]}"
+
+
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    """name, format, n_rows of the sets of the current run."""
+    return spark.read.schema("name string, format string, n_rows bigint").json(f"{_run(spark, out)}/_manifest")
+
+
+def read_published(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """One set of the current run."""
+    known = manifest(spark, out).filter(F.col("name") == name).first()
+    reader = spark.read.option("header", True) if known["format"] == "csv" else spark.read
+    return reader.format(known["format"]).load(f"{_run(spark, out)}/{name}")
+
+
 def monthly_kpis(f: DataFrame) -> DataFrame:
     """Monthly growth with payments, cashback and the previous month's GMV."""
     m = by_month(successful(f)).select("month", "gmv", "net", "users", "txn_count", "cashback")

@@ -30,7 +30,7 @@ def read_star(
         )
         frame = (
             spark.read.schema(raw)
-            .options(header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd")
+            .options(header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd", escape='"')
             .csv(source)
         )
         star[name] = normalize_bool(frame, flags)
@@ -79,7 +79,7 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "pa
     """Replace (or append to) the table stored at ``path``."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, escape='"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
