@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,16 @@ from paytally.llm import (
 from paytally.llm.common import documents
 from paytally.llm.sqltext import ORACLE
 
-SURROGATE_KEY = "paytally"
+SURROGATE_KEY = "spark.paytally.surrogateKey"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret named by the configuration; without one, a random key that holds for the session."""
+    key = spark.conf.get(SURROGATE_KEY, None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set(SURROGATE_KEY, key)
+    return key
 
 
 def tokenizer_path() -> str:
@@ -27,7 +37,7 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.report(documents(spark, sf_dir), SURROGATE_KEY)
+    return surrogates.report(documents(spark, sf_dir), surrogate_key(spark))
 
 
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

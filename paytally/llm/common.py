@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,14 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from paytally.functions.ordered import checkpoint_dir
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the file system of ``path`` delete it when the driver ends."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+from paytally.functions.ordered import scratch
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -27,9 +19,8 @@ def stored(df: DataFrame) -> DataFrame:
     goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch(spark, "llm")
     df.write.parquet(path)
-    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,17 +81,18 @@ def _batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (a, b): one row (node, root) per node with an edge.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014). Minima per node are combined
     map-side and joined back, so a hub's neighbours need not meet in one task; every round is
-    written to the shared folder. ``root`` is the smallest node of the component.
+    written to the shared folder, until one changes nothing. ``root`` is the smallest node of the
+    component.
     """
     edges = stored(edges.filter("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -114,7 +106,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select("b", "b").distinct())

@@ -120,7 +120,7 @@ class Windows:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"),
                              F.col(f"`{text_col}`").cast("string").alias("text")).filter(
-        "item is not null and text is not null")
+        "item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-size // block_bytes)
     if n <= 1:

@@ -7,14 +7,13 @@ terms at several rates, so that short and long documents both have subsets with
 Likeness is the share of equal hashes among the subsets that hold a term of either document, at the rate
 whose subsets are the most telling for the pair (see ``likeness``).
 
-Document frequencies are counted in two passes: a term in at least ``low`` of all documents is in at least
-``low`` of some chunk of them, so each task first names the terms frequent in one of its chunks; these
-candidates are then counted exactly. The lexicon has at most (distinct terms per document) / ``low`` terms
-whatever the number of documents, and is broadcast.
+Document frequencies are counted in one pass and summed by term. Of T distinct terms a document on average
+at most T / ``low`` reach the band, so the lexicon does not grow with the number of documents; it is broadcast.
 
 Defined results: null counts as an empty text; equal texts have equal fingerprints and likeness 1; two texts
 without lexicon terms are alike (1) only if both have none; documents follow one another by (doc_id, text),
-null ids first; the only document of a table is its own next document; extra columns are ignored.
+null ids first, and ids may be of any type that sorts; the only document of a table is
+its own next document; texts may be of any length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from paytally.llm.common import map_texts, narrow
+from paytally.llm.common import map_texts, narrow, stored
 
 #: Shares of the lexicon that a subset keeps.
 RATES = [2.0**-k for k in range(1, 9)]
@@ -41,51 +40,48 @@ def terms(text: bytes) -> set[bytes]:
     return set(text.lower().split())
 
 
-def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.2, chunk: int = 2_000) -> list[bytes]:
-    """Sorted terms whose document frequency lies in the band; ``docs`` has doc_id and text."""
+def counted(docs: DataFrame, chunk: int = 200_000) -> DataFrame:
+    """(kind, term, n): documents with each term (kind 2), all documents (0) and bytes of text (1).
+
+    A task hands its counts on whenever it holds ``chunk`` terms.
+    """
     local: Counter = Counter()
-    state = {"n": 0, "docs": 0}
+    state = {"docs": 0, "bytes": 0}
 
-    def flush() -> list[bytes]:
-        out = [t for t, k in local.items() if k >= low * state["n"]]
+    def out() -> dict:
+        made = {"kind": [2] * len(local), "term": list(local.keys()), "n": list(local.values())}
         local.clear()
-        state["n"] = 0
-        return out
+        return made
 
-    def candidates(ids: list, texts: list[bytes]) -> dict:
-        found: list[bytes] = []
+    def batch(ids: list, texts: list[bytes]) -> dict:
         for text in texts:
             local.update(terms(text))
-            state["n"] += 1
-            if state["n"] >= chunk:
-                found += flush()
         state["docs"] += len(texts)
-        return {"term": found, "n": [0] * len(found)} if found else {}
+        state["bytes"] += sum(map(len, texts))
+        return out() if len(local) >= chunk else {}
 
-    def last() -> dict:
-        found, n = flush(), state["docs"]
-        state["docs"] = 0
-        return {"term": [*found, None], "n": [0] * len(found) + [n]}
+    def rest() -> dict:
+        made = out()
+        made = {"kind": [*made["kind"], 0, 1], "term": [*made["term"], None, None],
+                "n": [*made["n"], state["docs"], state["bytes"]]}
+        state["docs"] = state["bytes"] = 0
+        return made
 
-    rows = map_texts(docs, "term binary; n long", candidates, last).groupBy("term").agg(F.sum("n")).collect()
-    total = sum(r[1] for r in rows if r[0] is None)
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in rows if r[0] is not None})
-    exact: Counter = Counter()
+    return map_texts(docs, "kind int; term binary; n long", batch, rest).groupBy("kind", "term").agg(F.sum("n").alias("n"))
 
-    def count(ids: list, texts: list[bytes]) -> dict:
-        named = shared.value
-        for text in texts:
-            exact.update(terms(text) & named)
-        return {}
 
-    def counted() -> dict:
-        out = {"term": list(exact.keys()), "n": list(exact.values())}
-        exact.clear()
-        return out if out["n"] else {}
+def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.2, chunk: int = 200_000) -> list[bytes]:
+    """Sorted terms whose document frequency lies in the band; ``docs`` has doc_id and text."""
+    return _band(stored(counted(docs, chunk)), low, high)[0]
+
 
-    band = map_texts(docs, "term binary; n long", count, counted).groupBy("term").agg(F.sum("n").alias("n"))
-    band = band.filter((F.col("n") >= low * total) & (F.col("n") <= high * total)).select("term").collect()
-    return sorted(bytes(r[0]) for r in band)
+def _band(counts: DataFrame, low: float, high: float) -> tuple[list[bytes], int, int]:
+    """The lexicon, and the number and bytes of all texts."""
+    sizes = {r.kind: r.n for r in counts.filter("kind < 2").collect()}  # two rows
+    total = sizes.get(0, 0)
+    # Of T distinct terms a document on average, at most T / low reach the band: no more with more documents.
+    band = counts.filter((F.col("kind") == 2) & (F.col("n") >= low * total) & (F.col("n") <= high * total))
+    return sorted(bytes(r[0]) for r in band.select("term").collect()), total, sizes.get(1, 0)
 
 
 class Subsets:
@@ -132,36 +128,57 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-def _in_order(docs: DataFrame, bounds: list) -> tuple[DataFrame, int]:
-    """Rows in buckets of consecutive ids, each bucket followed by the first row of the next (``_tail``)."""
-    kind = docs.schema["doc_id"].dataType
-    where = F.lit(0)
-    if bounds:
-        steps = F.array(*[F.lit(b).cast(kind) for b in bounds])
-        where = F.when(F.col("doc_id").isNull(), 0).otherwise(
-            F.size(F.filter(steps, lambda b: b <= F.col("doc_id"))))
-    rows = docs.select(where.cast("int").alias("_bucket"), "doc_id", "text")
-    heads = rows.groupBy("_bucket").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")).alias("h"))  # one row per bucket
+def _place() -> Column:
+    """Where a document belongs: null ids first, then the id, then the beginning of the text."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"),
+                    F.substring("text", 1, 64).alias("begin"))
+
+
+def bounds(rows: DataFrame, buckets: int, total: int, sample: int = 50_000) -> DataFrame:
+    """Places that cut the documents into about equal buckets, in one row: an array ``cuts``.
+
+    They come from distinct places drawn by hash, about ``sample`` of the ``total`` rows, in the ids'
+    own order, so ids may be of any type, and equal ids are told apart by their texts. Only the balance
+    of the buckets depends on the sample.
+    """
+    places = rows.select(_place().alias("p"))
+    drawn = places.filter(F.pmod(F.xxhash64("p"), F.lit(max(1, total // sample))) == 0).distinct()
+    listed = drawn.agg(F.sort_array(F.collect_list("p")).alias("all"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(buckets - 1, 1))),
+                     lambda i: F.element_at("all", F.greatest((i * F.size("all") / buckets).cast("int"), F.lit(1))))
+    none = F.slice("all", 1, 0)
+    return listed.select(F.when((F.size("all") == 0) | (F.lit(buckets) == 1), none)
+                         .otherwise(F.array_distinct(at)).alias("cuts"))
+
+
+def _in_order(docs: DataFrame, buckets: int, total: int) -> DataFrame:
+    """Rows in buckets of consecutive places, each bucket followed by the first row of the next (``_tail``)."""
+    cuts = stored(bounds(docs, buckets, total))
+    where = F.size(F.filter("cuts", lambda b: b <= F.col("_place")))
+    rows = docs.withColumn("_place", _place()).crossJoin(F.broadcast(cuts)).select(  # one row
+        where.alias("_bucket"), "doc_id", "text")
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
+    heads = stored(rows.groupBy("_bucket").agg(F.min(first).alias("h")))  # one row per bucket
     order = Window.orderBy("_bucket")  # over the buckets
-    heads = heads.select(F.lag("_bucket").over(order).alias("before"), F.col("_bucket"), "h.doc_id", "h.text")
+    heads = heads.select(F.lag("_bucket").over(order).alias("before"), "_bucket", "h.doc_id", "h.text")
     top = heads.agg(F.max("_bucket").alias("m"))
     tails = heads.crossJoin(F.broadcast(top)).select(  # one row: the first document follows the last
         F.coalesce("before", "m").alias("_bucket"), "doc_id", "text", F.lit(True).alias("_tail"))
-    return rows.withColumn("_tail", F.lit(False)).union(tails), len(bounds) + 1
+    return rows.withColumn("_tail", F.lit(False)).union(tails)
 
 
 def fingerprint_documents(docs: DataFrame, low: float = 0.002, high: float = 0.2, id_col: str = "doc_id",
-                          text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row per document: its fingerprint, that of its edited text, and the two likenesses."""
+                          text_col: str = "text", buckets: int | None = None, bucket_bytes: int = 1 << 24) -> DataFrame:
+    """One row per document: its fingerprint, that of its edited text, and the two likenesses.
+
+    Documents are dealt into ``buckets`` runs of consecutive places, by default of ``bucket_bytes`` each.
+    """
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)
-    shared = spark.sparkContext.broadcast(lexicon(rows, low, high))
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = rows.select(F.col("doc_id").cast("double").alias("d")).filter("d is not null")
-    cuts = ids.approxQuantile("d", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    ordered, parts = _in_order(rows, sorted({int(c) for c in cuts}))
-    dealt = ordered.repartitionByRange(parts, "_bucket").sortWithinPartitions(
+    words, total, size = _band(stored(counted(rows)), low, high)
+    shared = spark.sparkContext.broadcast(words)
+    parts = buckets or max(1, min(-(-size // bucket_bytes), 10_000))
+    dealt = _in_order(rows, parts, total).repartitionByRange(parts, "_bucket").sortWithinPartitions(
         "_bucket", "_tail", F.col("doc_id").asc_nulls_first(), "text")
     out = StructType([docs.schema[id_col]]) if id_col == "doc_id" else StructType([rows.schema["doc_id"]])
     for name, kind in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"),

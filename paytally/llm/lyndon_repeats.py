@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from paytally.functions.skew import skewed_join
 from paytally.llm.common import map_texts, narrow, sliced, stored
 
 SLICE = 1 << 20  # bytes hashed at once, at some 100 bytes of working memory each; places must fit 24 bits
@@ -332,12 +333,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 160, id_col:
     each = found.select("doc_id", "key", F.explode(F.arrays_zip("g", "x", "first", "last", "anchor", "n")).alias("e")).select(
         "doc_id", "key", "e.*")
     often = each.groupBy("g").agg(F.sum("n").alias("_n")).filter("_n > 1").select("g")
-    each = stored(each.join(often, "g"))
+    # A passage of many documents is one hot key; its contexts are dealt over many tasks.
+    place = ["doc_id", "key", "first"]
+    each = stored(skewed_join(each, often, ["g"], spread=place))
     equal = each.groupBy("g", "x").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "key", "first", "last", "anchor")).alias("one"))
     groups = equal.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    equal = stored(equal.join(groups, "g"))
+    equal = stored(skewed_join(equal, groups, ["g"], spread=["x"]))
 
-    twice = each.join(equal.filter("n > 1").select("g", "x"), ["g", "x"]).select(
+    twice = skewed_join(each, equal.filter("n > 1").select("g", "x"), ["g", "x"], spread=place).select(
         "doc_id", "key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     # Contexts to compare: all of a group in which one occurs once.

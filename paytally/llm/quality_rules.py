@@ -15,6 +15,7 @@ of labels, or with too few for a split, the score is the share of label 1 (0.5 w
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -61,9 +62,10 @@ def statistics(text: bytes) -> list[float]:
 def with_statistics(docs: DataFrame) -> DataFrame:
     def batch(ids: list, texts: list[bytes]) -> dict:
         columns = zip(*map(statistics, texts), strict=True) if texts else [[]] * len(STATISTICS)
-        return {"doc_id": ids} | dict(zip(STATISTICS, map(list, columns), strict=True))
+        keys = [hashlib.sha256(t).digest() for t in texts]
+        return {"doc_id": ids, "text_key": keys} | dict(zip(STATISTICS, map(list, columns), strict=True))
 
-    return map_texts(docs, "doc_id; " + "; ".join(f"{s} double" for s in STATISTICS), batch)
+    return map_texts(docs, "doc_id; text_key binary; " + "; ".join(f"{s} double" for s in STATISTICS), batch)
 
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", threshold), all must hold
@@ -139,6 +141,12 @@ def held_out(doc_id: Column) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = 0.7, max_labelled: int = 40_000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
+    return score_texts(docs, labels, id_col, text_col, threshold, max_labelled).drop("text_key")
+
+
+def score_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                threshold: float = 0.7, max_labelled: int = 40_000) -> DataFrame:
+    """``score_quality`` with ``text_key``, the SHA-256 of the text, which tells rows of one id apart."""
     stats = stored(with_statistics(narrow(docs, id_col, text_col)))
     marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.max("quality").cast("int").alias("quality"))
@@ -147,5 +155,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if n > max_labelled:  # a hashed share of the rows, near max_labelled
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
     model = fit(known)
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).select(
+    return stats.select("doc_id", "text_key", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).select(
         "*", (F.col("score") >= threshold).cast("int").alias("predicted"))

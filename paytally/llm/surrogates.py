@@ -115,11 +115,16 @@ def _number(h: str, at: str, digits: int = 4) -> str:
 def _letters(v: str, h: str, letters: int = 26) -> str:
     """Replace letters and digits of ``v`` within their class; the i-th of them takes the i-th number of ``h``,
     so punctuation does not shift the numbers."""
-    return (f"array_join(transform(sequence(1, greatest(length({v}), 1)), i -> transform(array(named_struct("
-            f"'c', substr({v}, i, 1), 'n', {_number(h, f'length({_alnum(f'substr({v}, 1, i)')})', 2)})), s -> "
-            f"CASE WHEN s.c between '0' and '9' THEN cast(s.n % 10 as string) "
-            f"WHEN s.c between 'a' and 'z' THEN char(97 + s.n % {letters}) "
-            f"WHEN s.c between 'A' and 'Z' THEN char(65 + s.n % {letters}) ELSE s.c END)[0]), '')")
+    plain = (f"array_join(transform({_chars(_alnum(v))}, (c, k) -> transform(array({_number(h, 'k + 1', 2)}), n -> "
+             f"CASE WHEN c between '0' and '9' THEN cast(n % 10 as string) "
+             f"WHEN c between 'a' and 'z' THEN char(97 + n % {letters}) "
+             f"ELSE char(65 + n % {letters}) END)[0]), '')")
+    return _relayout(v, plain)
+
+
+def _chars(v: str) -> str:
+    """Array of the characters of an entity (ASCII, but for names)."""
+    return f"filter(split({v}, ''), c -> c != '')"
 
 
 def _luhn(d: str, from_end: int) -> str:
@@ -130,9 +135,16 @@ def _luhn(d: str, from_end: int) -> str:
 
 
 def _relayout(v: str, plain: str) -> str:
-    """Put the characters of ``plain`` in the places of the letters and digits of ``v``."""
-    return (f"array_join(transform(sequence(1, length({v})), i -> CASE WHEN substr({v}, i, 1) rlike '[A-Za-z0-9]' "
-            f"THEN substr({plain}, length({_alnum(f'substr({v}, 1, i)')}), 1) ELSE substr({v}, i, 1) END), '')")
+    """Put the characters of ``plain`` in the places of the letters and digits of ``v``.
+
+    Both are taken apart once and put together by one sort of positions, so a long entity costs no more
+    per character than a short one.
+    """
+    places = "filter(sequence(0, size(cs) - 1), i -> {} (cs[i] rlike '[A-Za-z0-9]'))".format
+    put = (f"transform({places('')}, (i, k) -> named_struct('i', i, 'c', ps[k]))")
+    stay = (f"transform({places('not')}, i -> named_struct('i', i, 'c', cs[i]))")
+    mixed = _let(_chars(v), "cs", _let(_chars(plain), "ps", f"array_join(transform(sort_array(concat({put}, {stay})), x -> x.c), '')"))
+    return f"CASE WHEN length({_alnum(v)}) = length({v}) THEN {plain} ELSE {mixed} END"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -140,7 +152,17 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _surrogate(key: str, kind: str, v: str, canon: str, attempt: str) -> str:
-    """SQL for the surrogate of the spelling ``v`` of an entity that is not a name."""
+    """SQL for the surrogate of the spelling ``v`` of an entity that is not a name.
+
+    A format with more entities than values would draw for ever; from the 21st draw on the surrogate
+    grows by two characters a draw.
+    """
+    h = f"sha2(concat({_sql(key)}, ':more:{kind}:', {canon}, ':', {attempt}), 512)"
+    more = f"CASE WHEN {attempt} > 20 THEN substr({h}, 1, 2 * ({attempt} - 20)) ELSE '' END"
+    return f"concat({_same_format(key, kind, v, canon, attempt)}, {more})"
+
+
+def _same_format(key: str, kind: str, v: str, canon: str, attempt: str) -> str:
     h = _stream(key, f"concat('{kind}:', {canon}, ':', {attempt})")
     if kind == "email":
         domain = f"substring_index({v}, '@', -1)"
@@ -237,8 +259,12 @@ def _matches(text: str) -> Column:
     return F.expr(f"CASE WHEN `{text}` rlike {_sql(HINT)} THEN regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0) END")
 
 
-def assign(entities: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
-    """(kind, canon, attempt, surrogate) for distinct entities, distinct within a kind and none an entity itself."""
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, attempt, surrogate) for distinct entities, distinct within a kind and none an entity itself.
+
+    Those that collide draw again until none does; surrogates of short formats grow in the end, so
+    there are always enough.
+    """
     def drawn(rows: DataFrame) -> DataFrame:
         kinds = " ".join(f"WHEN '{k}' THEN {_surrogate(key, k, 'canon', 'canon', 'attempt')}" for k in KINDS if k != "name")
         named = f"lower({_name_word(key, 'kind', 'canon', 'attempt')})"
@@ -246,7 +272,7 @@ def assign(entities: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
 
     current = drawn(entities.withColumn("attempt", F.lit(0)))
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
-    for _ in range(max_draws):
+    while True:
         first = current.groupBy("kind", "surrogate").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("low"))
         twice = first.filter("n > 1").select("kind", "surrogate", "low.canon")
@@ -257,7 +283,6 @@ def assign(entities: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
             return current
         moved = current.join(again.withColumn("_again", F.lit(1)), ["kind", "canon"], "left")
         current = drawn(moved.select("kind", "canon", (F.col("attempt") + F.coalesce("_again", F.lit(0))).alias("attempt")))
-    raise RuntimeError("some formats have fewer values than entities; raise max_draws or widen the format")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text",
@@ -275,7 +300,9 @@ def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def _rewrite(docs: DataFrame, key: str, id_col: str, text_col: str, max_inline: int) -> DataFrame:
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"),
+    # Attempts are looked up by text: rows without an id, or of one id, are not gathered.
+    base = docs.select(F.sha2(F.col(f"`{text_col}`").cast("string"), 256).alias("_id"),
+                       F.col(f"`{text_col}`").cast("string").alias("_text"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     found = base.select("_id", F.explode(_matches("_text")).alias("m")).select("_id", F.explode(F.expr(_entities("m"))).alias("e"))
     entities = stored(found.select("e.kind", "e.canon").distinct())

@@ -129,11 +129,14 @@ def _decode(model: Model, symbols: np.ndarray, entry: int | None, leave: int) ->
 
 def parse(lines: DataFrame, model: Model, id_col: str = "conv_id", line_col: str = "line", text_col: str = "text",
           block: int = 512) -> DataFrame:
-    """One row per line: transcript id, line, role, first (begins a turn), body (text without marker)."""
+    """One row per line: transcript id, line, role, first (begins a turn), body (text without marker).
+
+    Lines without a number count as number -1 and so come first.
+    """
     spark = lines.sparkSession
     symbols = {s: i for i, s in enumerate(SYMBOLS)}
     seen = observations(lines.select(
-        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{line_col}`").cast("long").alias("_line"),
+        F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{line_col}`").cast("long"), F.lit(-1)).alias("_line"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")))
     number = F.create_map(*[F.lit(x) for s, i in symbols.items() for x in (s, i)])
     # Lines are numbered within their transcript, so blocks are ranges of the line number.

@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from paytally.functions.ordered import scratch
 from paytally.functions.skew import skewed_join
-from paytally.llm.common import checkpoint_dir, remove_at_exit, sliced, stored
+from paytally.llm.common import sliced, stored
 
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
@@ -187,9 +188,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     session ends. A file is closed once it holds ``max_file`` bytes.
     """
     spark = pages.sparkSession
-    if folder is None:
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-        remove_at_exit(spark, folder)
+    folder = scratch(spark, "warc") if folder is None else folder
     found = groups(pages, min_bytes, id_col, url_col, payload_col)
     as_text = {c: F.col(c).cast("string") for c in ("page_id", "head_id")}
 
