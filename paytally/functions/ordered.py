@@ -213,10 +213,14 @@ def _group_starts(hist: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] = (),
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles: one row per group, one double column per entry.
 
+    ``also`` adds aggregates over the distinct values (``_v``) and their row counts (``_w``), which
+    spares a second scan for means and ranges.
+
     ``by`` keys must be few (months, channels): there is one result row per group. The values may
     be as many as the rows of ``df``.
     """
@@ -260,7 +264,11 @@ def percentiles(
         frac = F.max(F.when(F.col("i") == i, F.col("frac")))
         return at(i, 0) + (at(i, 1) - at(i, 0)) * frac
 
-    return found.groupBy(*by).agg(*[interpolated(i).alias(p) for i, p in enumerate(names)])
+    cut = found.groupBy(*by).agg(*[interpolated(i).alias(p) for i, p in enumerate(names)])
+    if not also:
+        return cut
+    more = parts.groupBy(*by).agg(*[c.alias(n) for n, c in also.items()])
+    return more.join(cut, by) if by else more.crossJoin(F.broadcast(cut))  # one row each
 
 
 def kth_values(df: DataFrame, columns: list[str], probs: dict[str, str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import (
@@ -125,3 +125,66 @@ def matrix(f: DataFrame, months: int = 12) -> DataFrame:
         month_of_index("first_m").alias("cohort_month"),
         *[F.coalesce(pct(str(k), "size"), F.lit(0.0)).alias(f"month_{k}") for k in offsets],
     ).orderBy("cohort_month")
+
+
+# --- activity as bit masks ---------------------------------------------------------------------
+
+WIDTH = 63  # months per mask: all bits of a long but its sign
+
+
+def masks(f: DataFrame) -> DataFrame:
+    """One row per customer: ``_m0``, ``_m1``, ... with a bit per month of a SUCCESS payment, ``_base`` the month
+    number of the lowest bit.
+
+    Masks are joined by OR map-side, so one row per customer and task is shuffled, whatever the activity.
+    """
+    s = successful(f).select("customer_id", (F.year("txn_date") * 12 + F.month("txn_date") - 1).alias("_i"))
+    span = s.agg(F.min("_i").alias("lo"), F.max("_i").alias("hi")).first()  # one row
+    low, high = (0, 0) if span["lo"] is None else (span["lo"], span["hi"])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_i") - low) % WIDTH)
+    blocks = range((high - low) // WIDTH + 1)
+    return s.groupBy("customer_id").agg(*[
+        F.coalesce(F.bit_or(F.when(F.floor((F.col("_i") - low) / WIDTH) == b, bit)), F.lit(0).cast("long")).alias(f"_m{b}")
+        for b in blocks]).withColumn("_base", F.lit(low))
+
+
+def _bit(names: list[str], at: Column) -> Column:
+    """Whether bit ``at`` is set, counted through all masks; beyond them no bit is set."""
+    mask = F.element_at(F.array(*names, F.lit(0).cast("long")),
+                        (F.least(F.floor(at / WIDTH), F.lit(len(names))) + 1).cast("int"))
+    return F.call_function("shiftright", mask, (at % WIDTH).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+
+
+def _first_bit(names: list[str]) -> Column:
+    """Number of the lowest set bit: the set bits below it in (mask & -mask) - 1."""
+    found = [F.when(F.col(n) != 0, F.bit_count(F.col(n).bitwiseAND(-F.col(n)) - 1) + i * WIDTH) for i, n in enumerate(names)]
+    return F.coalesce(*found)
+
+
+def retention_by_masks(f: DataFrame, max_month: int = 11, digits: int = 2) -> DataFrame:
+    """``retention`` from the masks: months since the first bit are shifts, cohorts count bits."""
+    rows = masks(f)
+    names = [c for c in rows.columns if c.startswith("_m")]
+    rows = rows.withColumn("_first", _first_bit(names))
+    counts = rows.groupBy((F.col("_base") + F.col("_first")).alias("first_m")).agg(
+        F.count(F.lit(1)).alias("size"),
+        *[F.sum(_bit(names, F.col("_first") + k)).alias(f"u{k}") for k in range(max_month + 1)])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("offset"), F.col(f"u{k}").alias("users"))
+                                for k in range(max_month + 1)]))
+    return counts.select("first_m", "size", cells.alias("c")).select("first_m", "size", "c.*").filter("users > 0").select(
+        month_of_index("first_m").alias("cohort_month"), F.col("size").alias("cohort_size"),
+        F.col("offset").alias("months_since_cohort"), F.col("users").alias("retained_users"),
+        pct("users", "size", digits).alias("retention_pct"),
+    ).orderBy("cohort_month", "months_since_cohort")
+
+
+def activity_by_masks(f: DataFrame) -> DataFrame:
+    """``activity`` from the masks: one row per set bit."""
+    rows = masks(f)
+    names = [c for c in rows.columns if c.startswith("_m")]
+    months = F.filter(F.sequence(F.lit(0), F.lit(len(names) * WIDTH - 1)), lambda i: _bit(names, i) == 1)
+    return rows.withColumn("_first", _first_bit(names)).select(
+        "customer_id", "_base", "_first", F.explode(months).alias("_at")).select(
+        "customer_id", month_of_index(F.col("_base") + F.col("_first")).alias("cohort_month"),
+        month_of_index(F.col("_base") + F.col("_at")).alias("activity_month"),
+        (F.col("_at") - F.col("_first")).alias("months_since_cohort"))

@@ -159,3 +159,14 @@ def merge_refunds(spark: SparkSession, path: str, updates: DataFrame, grain: str
             "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
         spark.catalog.refreshByPath(path)
     return report
+
+
+def save_by_customer(f: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """Store the fact bucketed and sorted by customer and return the table.
+
+    RFM, lifetime value, churn and cohorts then group by customer without moving the fact. Choose the
+    buckets for files of some hundred megabytes. Rows of one customer share a bucket.
+    """
+    dealt = f.repartition(buckets, "customer_id")  # one file per bucket
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, "customer_id").sortBy("customer_id").saveAsTable(table)
+    return f.sparkSession.table(table)

@@ -13,12 +13,18 @@ from paytally.functions.ordered import percentiles
 
 
 def gmv_summary(f: DataFrame) -> DataFrame:
-    s = successful(f)
-    return s.agg(
-        F.count(F.lit(1)).alias("txn_count"),
-        F.sum("amount").alias("gmv"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.countDistinct("merchant_id").alias("unique_merchants"),
+    # A row per customer and one per merchant, combined per id before the shuffle; no distinct aggregate.
+    cells = F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("customer_id").cast("string").alias("id")),
+        F.struct(F.lit(1).alias("kind"), F.col("merchant_id").cast("string").alias("id"))))
+    ids = successful(f).select("amount", cells.alias("c")).groupBy("c.kind", "c.id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    customer, merchant = F.col("kind") == 0, F.col("kind") == 1
+    return ids.agg(
+        F.coalesce(F.sum(F.when(customer, F.col("n"))), F.lit(0)).alias("txn_count"),
+        F.sum(F.when(customer, F.col("amount"))).alias("gmv"),
+        F.count(F.when(customer, F.col("id"))).alias("unique_customers"),
+        F.count(F.when(merchant, F.col("id"))).alias("unique_merchants"),
     ).select(
         money("gmv").alias("total_gmv"),
         F.col("txn_count").alias("total_txn_count"),
@@ -122,14 +128,10 @@ def monthly_success(f: DataFrame) -> DataFrame:
 def monthly_aov(f: DataFrame) -> DataFrame:
     """Average, range and exact median of the amount by month."""
     s = successful(f).select("txn_date", "amount").withColumn("m", month_start())
-    median = percentiles(s, "amount", {"median": 0.5}, by=["m"])
-    stats = s.groupBy("m").agg(
-        F.sum("amount").alias("gmv"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("amount").alias("lo"),
-        F.max("amount").alias("hi"),
-    )
-    return stats.join(median, "m").select(
+    value, weight = F.col("_v"), F.col("_w")
+    found = percentiles(s, "amount", {"median": 0.5}, by=["m"], also={
+        "gmv": F.sum(value * weight), "n": F.sum(weight), "lo": F.min(value), "hi": F.max(value)})
+    return found.select(
         month_key("m").alias("month"),
         ratio("gmv", "n").alias("avg_order_value"),
         money("lo").alias("min_amount"),

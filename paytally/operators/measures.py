@@ -10,6 +10,7 @@ from paytally.functions.expr import (
     previous, ratio, rnd, successful, totals,
 )
 from paytally.operators import behavior
+from paytally.operators.rollup import SUMS, sums
 
 
 def _or_zero(c: Column) -> Column:
@@ -17,8 +18,8 @@ def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def base(f: DataFrame, by: list[str] = ()) -> DataFrame:
-    return totals(successful(f), *by).select(
+def _base_columns(t: DataFrame, by: list[str]) -> DataFrame:
+    return t.select(
         *by,
         money("gmv").alias("total_gmv"),
         money("mdr").alias("gross_mdr_income"),
@@ -34,6 +35,49 @@ def base(f: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def base(f: DataFrame, by: list[str] = ()) -> DataFrame:
+    return _base_columns(totals(successful(f), *by), list(by))
+
+
+LEVEL = "level"
+
+
+def level_of(dims: list[str], used: set[str]) -> int:
+    """The grouping id of the level that keeps the ``used`` ones of ``dims``: a bit for each one left out."""
+    return sum(1 << i for i, d in enumerate(reversed(dims)) if d not in used)
+
+
+def lattice(f: DataFrame, dims: list[str], levels: list[set[str]] | None = None) -> DataFrame:
+    """Additive measures for sets of dimensions (all subsets by default), told apart by ``level``.
+
+    The fact is read once and combined by all dimensions; the sets are grouped from those few rows. Keep
+    the result in a table: ``answer`` then serves any filter without the fact.
+    """
+    finest = sums(f, *dims)
+    wanted = [set(d for i, d in enumerate(dims) if n >> i & 1) for n in range(1 << len(dims))] if levels is None else levels
+    sets = [[F.col(d) for d in dims if d in level] for level in wanted]
+    return finest.groupingSets(sets, *[F.col(d) for d in dims]).agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.grouping_id(*dims).cast("long").alias(LEVEL))
+
+
+def answer(table: DataFrame, dims: list[str], filters: dict[str, list] | None = None, by: list[str] = (),
+           levels: list[set[str]] | None = None) -> DataFrame:
+    """``base`` under ``filters`` (column to values) by ``by``, from the level with the fewest dimensions that
+    has them all. ``levels`` lists what the table holds, if not all sets."""
+    by, filters = list(by), filters or {}
+    used = set(by) | set(filters)
+    fit = [level for level in levels or [used] if used <= level]
+    if not fit or not used <= set(dims):
+        raise ValueError(f"no level answers {sorted(used)}")
+    rows = table.filter(F.col(LEVEL) == level_of(dims, min(fit, key=lambda x: (len(x), sorted(x)))))
+    for column, kept in filters.items():
+        rows = rows.filter(F.col(column).isin(*kept))
+    found = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS]).withColumns({
+        "txn_count": F.coalesce("txn_count", F.lit(0)), "net": F.col("mdr") - F.col("cashback") - F.col("fee"),
+        "cost": F.col("cashback") + F.col("fee")})
+    return _base_columns(found, by)
+
+
 def users(f: DataFrame) -> DataFrame:
     """User measures by month; ``mau_30d`` is the trailing 30-day count at the month's end."""
     months = behavior.user_days(f).groupBy(month_start().alias("m")).agg(

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, IntegralType
 
 from paytally.functions.expr import (
     FAILED, PENDING, SUCCESS, dbl, lookup, mdr_revenue, money, month_key, month_start, pct,
@@ -15,6 +16,7 @@ from paytally.functions.ordered import percentiles
 
 CRITICAL = ["transaction_id", "customer_id", "merchant_id", "amount", "mdr_pct", "status",
             "txn_date", "channel_id"]
+from paytally.sources.readers import values
 
 
 def _as_rows(df: DataFrame, key: str, value: str, checks: dict[str, Column]) -> DataFrame:
@@ -53,7 +55,10 @@ def invalid_amounts(f: DataFrame) -> DataFrame:
 
 
 def orphans(f: DataFrame, star: dict[str, DataFrame]) -> DataFrame:
-    """Fact rows without a dimension row. Counting per key first keeps a hot key to one row."""
+    """Fact rows without a dimension row, one row per dimension, also where the fact is empty.
+
+    Counting per key first keeps a hot key to one row.
+    """
     keys = [
         ("missing_customer", "customer_id", "dim_customer", "customer_id"),
         ("missing_merchant", "merchant_id", "dim_merchant", "merchant_id"),
@@ -62,18 +67,28 @@ def orphans(f: DataFrame, star: dict[str, DataFrame]) -> DataFrame:
         ("missing_date", "txn_date", "dim_date", "date"),
     ]
 
+    def number(c: Column, kind: DataType) -> Column:
+        """Integers and dates as numbers, so that keys are combined without text."""
+        if isinstance(kind, DateType):
+            return F.unix_date(c).cast("long")
+        return c.cast("long") if plain else c.cast("string")
+
+    plain = all(isinstance(f.schema[k].dataType, (IntegralType, DateType)) for _, k, _, _ in keys)
     # One scan: a row per key kind, combined per (kind, key) before the shuffle.
     cells = F.explode(F.array(*[
-        F.struct(F.lit(issue).alias("issue"), F.col(key).cast("string").alias("key"))
-        for issue, key, _, _ in keys
+        F.struct(F.lit(i).alias("issue"), number(F.col(key), f.schema[key].dataType).alias("key"))
+        for i, (_, key, _, _) in enumerate(keys)
     ]))
     per_key = f.select(cells.alias("c")).groupBy("c.issue", "c.key").agg(F.count(F.lit(1)).alias("n"))
     known = reduce(DataFrame.unionByName, [
-        star[dim].select(F.lit(issue).alias("issue"), F.col(dim_key).cast("string").alias("key"))
-        for issue, _, dim, dim_key in keys
+        star[dim].select(F.lit(i).alias("issue"), number(F.col(dim_key), star[dim].schema[dim_key].dataType).alias("key"))
+        for i, (_, _, dim, dim_key) in enumerate(keys)
     ]).withColumn("known", F.lit(True))
-    return per_key.join(known.distinct(), ["issue", "key"], "left").groupBy("issue").agg(
-        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("orphan_count"))
+    counts = per_key.join(known.distinct(), ["issue", "key"], "left").groupBy("issue").agg(
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n"))
+    issues = values(f.sparkSession, [(i, k[0]) for i, k in enumerate(keys)], "i int, issue string")
+    return issues.join(counts.withColumnRenamed("issue", "_i"), F.col("i") == F.col("_i"), "left").select(
+        "issue", F.coalesce("n", F.lit(0)).cast("long").alias("orphan_count"))
 
 
 def duplicate_ids(f: DataFrame, k: int = 10) -> DataFrame:

@@ -47,10 +47,12 @@ def plain(df: DataFrame) -> DataFrame:
 @cache
 def load() -> dict[str, tuple[Query, str | None]]:
     from paytally.plans import (
-        catalog_customers, catalog_loading, catalog_platform, catalog_primitives, catalog_stats,
+        catalog_customers, catalog_layout, catalog_loading, catalog_platform, catalog_primitives,
+        catalog_stats,
     )
 
-    for module in (catalog_platform, catalog_customers, catalog_stats, catalog_primitives, catalog_loading):
+    for module in (catalog_platform, catalog_customers, catalog_stats, catalog_primitives, catalog_loading,
+                   catalog_layout):
         module.register()
     return _QUERIES
 
