@@ -41,7 +41,7 @@ MARK = b"\xff"  # no byte of a UTF-8 text
 TABLE = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS + b"\t",
                         bytes(range(97, 123)) + MARK * len(PIECE_ENDS) + b" ")
 
-WORDS = 1 << 20  # words per batch, and at most as many new words per piece of a text
+WORDS = 1 << 19  # words per batch, and at most as many new words per piece of a text
 IDS = 21  # bits of a word's number within a task
 KEY = 40  # bits of an n-gram's hash within a partition
 FILTER = 28  # bits of a bitmap position at most: 32 MB
@@ -384,8 +384,13 @@ def score(counts: DataFrame, order: int = 4, top: int = 2_000, cover: int = 80,
         covers = phrases.select("lang", "f", inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("m"))
         held = scored.join(covers, ["lang", "phrase"], "left")
         scored = held.filter(F.col("m").isNull() | (_exact(F.col("m")) * 100 < _exact(F.col("a")) * cover))
-    order_by = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order_by).cast("long")).filter(F.col("rank") <= top)
+    # The best of each of 16 parts of a lang first, so that one task ranks 16 * top phrases at most.
+    order_by = [F.desc("b.score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(16))
+    best = scored.withColumn("part", part).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order_by))).filter(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order_by)).cast("long"))
+    best = best.filter(F.col("rank") <= top)
     total = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "b.l", "b.r", "n", "b.score")
 

@@ -112,13 +112,14 @@ def _merge(upsert_sql: str):
 
 
 def _rollups():
-    month = month_start().alias("month")
+    def month():
+        return month_start().alias("month")
 
     def days(st):
         return rollup.user_state(st[FACT], "txn_date", "channel_id")
 
     def mau(st):
-        return rollup.count_users(days(st), by=[month]).select(
+        return rollup.count_users(days(st), by=[month()]).select(
             month_key("month").alias("month"), F.col("unique_customers").alias("mau"))
 
     def channels(st):
@@ -126,7 +127,7 @@ def _rollups():
         return lookup(found, st["dim_channel"], "channel_id", "channel_name").select("channel_name", "unique_customers")
 
     def tiers(st):
-        cities = rollup.user_state(st[FACT], month, "city_id")
+        cities = rollup.user_state(st[FACT], month(), "city_id")
         placed = lookup(cities, st["dim_city"], "city_id", "tier")
         return rollup.count_users(placed, by=["tier"])
 
@@ -134,9 +135,9 @@ def _rollups():
         """State and sums of the loaded days, with those of the days after them added."""
         f = st[FACT]
         old, new = f.filter(F.col("txn_date") < LOADED), f.filter(F.col("txn_date") >= LOADED)
-        state = rollup.fold(rollup.user_state(old, month, "channel_id"), rollup.user_state(new, month, "channel_id"),
+        state = rollup.fold(rollup.user_state(old, month(), "channel_id"), rollup.user_state(new, month(), "channel_id"),
                             by=["month", "channel_id"])
-        sums = rollup.add_sums(rollup.sums(old, month, "channel_id"), rollup.sums(new, month, "channel_id"),
+        sums = rollup.add_sums(rollup.sums(old, month(), "channel_id"), rollup.sums(new, month(), "channel_id"),
                                by=["month", "channel_id"])
         return sums.join(rollup.count_users(state, by=["month", "channel_id"]), ["month", "channel_id"]).select(
             month_key("month").alias("month"), "channel_id", "txn_count", *rollup.SUMS[1:], "unique_customers")
