@@ -43,4 +43,33 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
  sha256(text) AS restored_sha256 FROM p
 """
 
-ORACLE = {"op11_collocations": COLLOCATIONS, "op12_warc": WARC, "op13_fill_middle": FILL_MIDDLE}
+def _words(text: str) -> str:
+    """List of a text's words in lower case."""
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+_LEADS = ", ".join(f"lead(word, {i}) OVER (PARTITION BY rid ORDER BY pos) AS w{i}" for i in range(1, 10))
+_GRAMS = " UNION ALL ".join(
+    f"SELECT rid, pos, {s} AS s, {" || ' ' || ".join(['word', *[f'w{i}' for i in range(1, s)]])} AS g FROM e"
+    + (f" WHERE w{s - 1} IS NOT NULL" if s > 1 else "") for s in range(1, 11))
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
+k AS (SELECT item, w, least(len(w), 10) AS s FROM i WHERE len(w) > 0 AND item IS NOT NULL),
+v AS (SELECT DISTINCT item, s, array_to_string(w[p:p + s - 1], ' ') AS g
+ FROM (SELECT item, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM k)),
+u AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+e AS (SELECT rid, pos, word, {_LEADS} FROM u),
+n AS ({_GRAMS}),
+h AS (SELECT n.rid, n.pos, n.s, v.item FROM n JOIN v ON n.s = v.s AND n.g = v.g),
+c AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(pos, pos + s)) AS p FROM h) GROUP BY rid),
+m AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items
+ FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)
+"""
+
+ORACLE = {"op9_prefix_join": DECONTAMINATION, "op11_collocations": COLLOCATIONS, "op12_warc": WARC, "op13_fill_middle": FILL_MIDDLE}

@@ -10,7 +10,8 @@ canonically.
 Viterbi runs in blocks of ``block`` lines: a block is one max-plus matrix (states x states); the short chain
 of its transcript's matrices fixes the states at block borders, and each block is then decoded by itself. A
 transcript with a third of all lines is so spread over many tasks. Equal scores go to the lower state number,
-within blocks and across them.
+within blocks and across them. Sorted Arrow streams carry many blocks at a time, and all blocks of a stream's
+chunk advance together, so short transcripts cost no more per line than long ones.
 
 Defined results: null and empty lines are blank lines of the current turn; a transcript of blank lines is one
 empty turn; repeated (transcript, line) rows follow each other in text order; no rows give no rows.
@@ -21,11 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from paytally.llm.common import stored
+from paytally.llm.common import sliced, stored
 
 ROLES = ["system", "user", "assistant", "tool"]
 STATES = [(r, first) for r in range(len(ROLES)) for first in (True, False)]
@@ -103,28 +106,95 @@ def fit(lines: DataFrame) -> Model:
                  np.log(emit / emit.sum(axis=1, keepdims=True)))
 
 
-def _block_matrix(model: Model, symbols: np.ndarray) -> np.ndarray:
-    """Best log score from the state before the block to each state at its end."""
-    score = np.where(np.eye(len(STATES), dtype=bool), 0.0, -np.inf)
-    for s in symbols:
-        score = (score[:, :, None] + model.step[None]).max(axis=1) + model.emit[:, s]
-    return score
-
-
-def _decode(model: Model, symbols: np.ndarray, entry: int | None, leave: int) -> np.ndarray:
-    """States of a block that is entered from ``entry`` (None: transcript's start) and ends in ``leave``."""
-    back, score = [], None
-    for i, s in enumerate(symbols):
-        if i == 0:
-            score = (model.start if entry is None else model.step[entry]) + model.emit[:, s]
-            continue
-        paths = score[:, None] + model.step
+def _padded(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of many blocks as one table, longest block first: order, lengths and (blocks x lines) symbols."""
+    sizes = np.array([len(g) for g in groups])
+    order = np.argsort(-sizes, kind="stable")
+    table = np.zeros((len(groups), sizes.max(initial=0)), dtype=np.int64)
+    for row, i in enumerate(order):
+        table[row, :sizes[i]] = groups[i]
+    return order, sizes[order], table
+
+
+def block_scores(model: Model, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per block: the best log scores from each state before it to each state at its end, and those of a block
+    that begins its transcript. All blocks advance together, a line at a time."""
+    order, sizes, table = _padded(groups)
+    n = len(STATES)
+    inner = np.broadcast_to(np.where(np.eye(n, dtype=bool), 0.0, -np.inf), (len(groups), n, n)).copy()
+    first = np.zeros((len(groups), n))
+    for t in range(table.shape[1]):
+        k = int(np.searchsorted(-sizes, -t, "left"))  # blocks with more than t lines
+        emit = model.emit[:, table[:k, t]].T
+        inner[:k] = (inner[:k, :, :, None] + model.step).max(axis=2) + emit[:, None, :]
+        first[:k] = (model.start if t == 0 else (first[:k, :, None] + model.step).max(axis=1)) + emit
+    back = np.argsort(order)
+    return inner[back], first[back]
+
+
+def decoded(model: Model, groups: list[np.ndarray], entry: np.ndarray, leave: np.ndarray) -> list[np.ndarray]:
+    """States of blocks that are entered from ``entry`` (-1: transcript's start) and end in ``leave``."""
+    order, sizes, table = _padded(groups)
+    entry, state = entry[order], leave[order].copy()
+    score = np.where((entry < 0)[:, None], model.start, model.step[np.maximum(entry, 0)])
+    pointers = []
+    for t in range(table.shape[1]):
+        k = int(np.searchsorted(-sizes, -t, "left"))
+        if t:
+            paths = score[:k, :, None] + model.step
+            pointers.append(paths.argmax(axis=1))
+            score[:k] = paths.max(axis=1)
+        score[:k] += model.emit[:, table[:k, t]].T
+    states = np.zeros(table.shape, dtype=np.int64)
+    for t in range(table.shape[1] - 1, -1, -1):
+        k = int(np.searchsorted(-sizes, -t, "left"))
+        states[:k, t] = state[:k]
+        if t:
+            state[:k] = pointers[t - 1][np.arange(k), state[:k]]
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(groups)
+    for row, i in enumerate(order):
+        out[i] = states[row, :sizes[row]]
+    return out
+
+
+def borders(scores: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """States at the ends of a transcript's consecutive blocks."""
+    score, back = scores[0][1], []
+    for inner, _ in scores[1:]:
+        paths = score[:, None] + inner
         back.append(paths.argmax(axis=0))
-        score = paths.max(axis=0) + model.emit[:, s]
-    states = [leave]
+        score = paths.max(axis=0)
+    ends = [int(score.argmax())]
     for pointers in reversed(back):
-        states.append(int(pointers[states[-1]]))
-    return np.array(states[::-1])
+        ends.append(int(pointers[ends[-1]]))
+    return ends[::-1]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows with equal first ``keys`` columns, which follow each other."""
+    key, held = (), []
+    for batch in sliced(batches, 4_096):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:keys] != key:
+                yield key, held
+                held = []
+            key = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield key, held
+
+
+def _chunks(runs: Iterator[tuple[tuple, list[tuple]]], rows: int = 20_000) -> Iterator[list[tuple[tuple, list[tuple]]]]:
+    """Runs in lists of about ``rows`` rows."""
+    held, n = [], 0
+    for run in runs:
+        held.append(run)
+        n += len(run[1])
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def parse(lines: DataFrame, model: Model, id_col: str = "conv_id", line_col: str = "line", text_col: str = "text",
@@ -133,7 +203,6 @@ def parse(lines: DataFrame, model: Model, id_col: str = "conv_id", line_col: str
 
     Lines without a number count as number -1 and so come first.
     """
-    spark = lines.sparkSession
     symbols = {s: i for i, s in enumerate(SYMBOLS)}
     seen = observations(lines.select(
         F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{line_col}`").cast("long"), F.lit(-1)).alias("_line"),
@@ -144,49 +213,56 @@ def parse(lines: DataFrame, model: Model, id_col: str = "conv_id", line_col: str
     id_type = seen.schema["_id"].dataType.simpleString()
     key = ["_id", "_block"]
 
-    def matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_line", "_text"])
-        m = _block_matrix(model, pdf["_s"].to_numpy())
-        first = (model.start + model.emit[:, pdf["_s"].iloc[0]])
-        for s in pdf["_s"].to_numpy()[1:]:
-            first = (first[:, None] + model.step).max(axis=0) + model.emit[:, s]
-        return pd.DataFrame({"_id": [pdf["_id"].iloc[0]], "_block": [pdf["_block"].iloc[0]],
-                             "_m": [m.ravel().tolist()], "_f": [first.tolist()]})
+    def schema(ddl: str) -> tuple[StructType, pa.Schema]:
+        kind = _parse_datatype_string(f"struct<_id:{id_type},{ddl}>")
+        return kind, to_arrow_schema(kind)
+
+    def columns(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    chain = seen.select(*key, "_line", "_text", "_s").groupBy(*key).applyInPandas(
-        matrices, f"_id {id_type}, _block long, _m array<double>, _f array<double>")
+    chain_kind, chain_arrow = schema("_block:bigint,_m:array<double>,_f:array<double>")
+    ends_kind, ends_arrow = schema("_block:bigint,_entry:int,_leave:int")
+    out_kind, out_arrow = schema("line:bigint,role:string,first:boolean,body:string")
 
-    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(_runs(batches, 2)):
+            inner, first = block_scores(model, [np.array([r[0] for r in rows]) for _, rows in chunk])
+            yield columns([(*k, m.ravel().tolist(), f.tolist())
+                           for (k, _), m, f in zip(chunk, inner, first, strict=True)], chain_arrow)
+
+    def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """States at block ends: one small matrix per block of a transcript."""
-        pdf = pdf.sort_values("_block")
-        n, score, back = len(STATES), None, []
-        for i, (m, f) in enumerate(zip(pdf["_m"], pdf["_f"], strict=True)):
-            if i == 0:
-                score = np.array(f)
-                continue
-            paths = score[:, None] + np.array(m).reshape(n, n)
-            back.append(paths.argmax(axis=0))
-            score = paths.max(axis=0)
-        ends = [int(score.argmax())]
-        for pointers in reversed(back):
-            ends.append(int(pointers[ends[-1]]))
-        ends = ends[::-1]
-        return pd.DataFrame({"_id": pdf["_id"], "_block": pdf["_block"], "_entry": [-1, *ends[:-1]], "_leave": ends})
-
-    ends = chain.groupBy("_id").applyInPandas(borders, f"_id {id_type}, _block long, _entry int, _leave int")
-    ends = ends.select(F.col("_id").alias("_eid"), F.col("_block").alias("_eb"), "_entry", "_leave")
-    joined = seen.join(ends, seen["_id"].eqNullSafe(ends["_eid"]) & (F.col("_block") == F.col("_eb")))
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_line", "_text"])
-        entry = int(pdf["_entry"].iloc[0])
-        states = _decode(model, pdf["_s"].to_numpy(), None if entry < 0 else entry, int(pdf["_leave"].iloc[0]))
-        return pd.DataFrame({"_id": pdf["_id"], "line": pdf["_line"], "role": [ROLES[STATES[s][0]] for s in states],
-                             "first": [STATES[s][1] for s in states],
-                             "body": [o if STATES[s][1] else b for s, b, o in zip(states, pdf["_body"], pdf["_opening"], strict=True)]})
-
-    out = joined.select(*key, "_line", "_text", "_s", "_body", "_opening", "_entry", "_leave").groupBy(*key).applyInPandas(
-        decode, f"_id {id_type}, line long, role string, first boolean, body string")
+        n = len(STATES)
+        for chunk in _chunks(_runs(batches, 1)):
+            rows = []
+            for (doc,), blocks in chunk:
+                ends = borders([(np.array(m).reshape(n, n), np.array(f)) for _, m, f in blocks])
+                rows += [(doc, b[0], entry, leave) for b, entry, leave in zip(blocks, [-1, *ends[:-1]], ends, strict=True)]
+            yield columns(rows, ends_arrow)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(_runs(batches, 2)):  # the first row of a block has its border states
+            states = decoded(model, [np.array([r[1] for r in rows[1:]]) for _, rows in chunk],
+                             np.array([rows[0][4] for _, rows in chunk]), np.array([rows[0][5] for _, rows in chunk]))
+            made = []
+            for (k, rows), path in zip(chunk, states, strict=True):
+                for (line, _, body, opening, *_), state in zip(rows[1:], path.tolist(), strict=True):
+                    role, first = STATES[state]
+                    made.append((k[0], line, ROLES[role], first, opening if first else body))
+            yield columns(made, out_arrow)
+
+    dealt = seen.select(*key, "_line", "_text", "_s").repartition(*key).sortWithinPartitions(*key, "_line", "_text")
+    chain = dealt.select(*key, "_s").mapInArrow(score, chain_kind)
+    ends = chain.repartition("_id").sortWithinPartitions(*key).mapInArrow(join_blocks, ends_kind)
+    none = F.lit(None)
+    lines_of = seen.select(*key, F.lit(1).alias("_kind"), "_line", "_text", "_s", "_body", "_opening",
+                           none.cast("int").alias("_entry"), none.cast("int").alias("_leave"))
+    heads = ends.select(*key, F.lit(0).alias("_kind"), none.cast("long").alias("_line"), none.cast("string").alias("_text"),
+                        none.cast("int").alias("_s"), none.cast("string").alias("_body"),
+                        none.cast("string").alias("_opening"), "_entry", "_leave")
+    both = heads.unionByName(lines_of).repartition(*key).sortWithinPartitions(*key, "_kind", "_line", "_text")
+    out = both.select(*key, "_line", "_s", "_body", "_opening", "_entry", "_leave").mapInArrow(decode, out_kind)
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -213,17 +289,24 @@ def offsets(rows: DataFrame, key: str, order: list[str], size: str, block: int =
     return rows.join(sums, on).withColumn("_before", F.col("_o") + F.col("_w")).drop("_range", "_k", "_r", "_o", "_w")
 
 
-def raw_lines(conversations: DataFrame) -> DataFrame:
+#: A style of labels that no list of the model holds.
+UNSEEN = [("Caller: ", "Operator: ", "Setup: ", "Lookup: ")]
+
+
+def raw_lines(conversations: DataFrame, styles: list[tuple] = STYLES, unlabelled: int = 0) -> DataFrame:
     """Numbered lines of a plain transcript per conversation, with the true role of each line.
 
-    The label style follows the conversation's hash; one turn in ten gets a label that names no role.
+    The label style follows the conversation's hash; one turn in ten gets a label that names no role
+    and, of the others, one in ``unlabelled`` none at all (0: every turn has a label).
     """
     role = F.lower(F.coalesce(F.col("role").cast("string"), F.lit("user")))
     number = F.coalesce(*[F.when(role == r, i) for i, r in enumerate(("user", "assistant", "system", "tool"))], F.lit(0))
-    style = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in STYLES]),
-                         (F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))) + 1).cast("int"))
+    style = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in styles]),
+                         (F.pmod(F.xxhash64("conv_id"), F.lit(len(styles))) + 1).cast("int"))
     label = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10)) == 0, F.lit("Speaker: ")).otherwise(
         F.element_at(style, number + 1))
+    if unlabelled:
+        label = F.when(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(unlabelled)) == 0, F.lit("")).otherwise(label)
     names = F.array(*map(F.lit, ("user", "assistant", "system", "tool")))
     rows = conversations.select(
         "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),

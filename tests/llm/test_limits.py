@@ -1,6 +1,7 @@
 """Long entities, ids of any type, formats that run out, lines without numbers."""
 
 import hashlib
+import random
 import time
 from collections import Counter
 
@@ -72,3 +73,62 @@ def test_lines_without_a_number_stay(spark):
                                  "conv_id string, line long, text string")
     got = transcripts.parse(more, model).collect()
     assert Counter((r.conv_id, r.line) for r in got) == Counter([("a", -1), ("a", 0), (None, -1), (None, 3)])
+
+
+def plain_viterbi(model, symbols):
+    """Best path of one transcript; equal scores go to the lower state."""
+    n = len(transcripts.STATES)
+    score, back = [model.start[j] + model.emit[j, symbols[0]] for j in range(n)], []
+    for s in symbols[1:]:
+        came = [max(range(n), key=lambda i: (score[i] + model.step[i, j], -i)) for j in range(n)]
+        score = [score[came[j]] + model.step[came[j], j] + model.emit[j, s] for j in range(n)]
+        back.append(came)
+    path = [max(range(n), key=lambda i: (score[i], -i))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+def test_parsing_equals_plain_viterbi(spark):
+    rng = random.Random(11)
+    marks = ["User: ", "Assistant: ", "Caller: ", "", "", "System: ", "```", "- "]
+    texts = [(f"c{c}" if c else None, i, rng.choice(marks) + "word " * rng.randint(0, 50) + rng.choice(["", "?"]))
+             for c in range(60) for i in range(rng.choice([1, 2, 5, 40]))]
+    lines = spark.createDataFrame(texts, "conv_id string, line long, text string").repartition(5)
+    model = transcripts.fit(spark.createDataFrame(
+        [("user", True, None, None, "user|short|plain"), ("user", False, "user", True, "none|long|plain"),
+         ("assistant", True, "user", False, "assistant|middle|plain"), ("assistant", False, "assistant", True, "none|short|list")],
+        "_role string, _first boolean, _role_before string, _first_before boolean, _symbol string"))
+    symbols = {s: i for i, s in enumerate(transcripts.SYMBOLS)}
+    seen = transcripts.observations(lines.withColumnRenamed("text", "_text")).collect()
+    by_conv = {}
+    for r in sorted(seen, key=lambda r: r.line):
+        by_conv.setdefault(r.conv_id, []).append((r.line, symbols[r._symbol]))
+    for block in (3, 512):
+        got = {(r.conv_id, r.line): transcripts.STATES.index((transcripts.ROLES.index(r.role), r.first))
+               for r in transcripts.parse(lines, model, block=block).collect()}
+        assert len(got) == len(texts)
+        for conv, listed in by_conv.items():
+            path = [got[conv, line] for line, _ in listed]
+            want = plain_viterbi(model, [s for _, s in listed])
+            if block == 512:
+                assert path == want
+            total = [sum(model.emit[j, s] for j, (_, s) in zip(p, listed)) + model.start[p[0]]
+                     + sum(model.step[i, j] for i, j in zip(p, p[1:])) for p in (path, want)]
+            assert abs(total[0] - total[1]) < 1e-9
+    assert transcripts.parse(lines.limit(0), model).count() == 0
+
+
+def test_transcripts_with_unseen_and_missing_labels(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice(["what", "then", "more", "of", "it", "words"]) for _ in range(n))
+    rows = [(c, t, ["user", "assistant"][t % 2], words(6) + "?" if t % 2 == 0 else "\n".join(words(30) for _ in range(3)))
+            for c in range(80) for t in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = transcripts.raw_lines(table, transcripts.STYLES + transcripts.UNSEEN, unlabelled=8)
+    texts = [r.text for r in lines.filter("true_first").collect()]
+    known = {label.split("\n")[0] for style in transcripts.STYLES for label in style}
+    assert any(t.startswith(("Caller", "Operator")) for t in texts)
+    assert 10 < sum(not t.startswith((*known, "Caller", "Operator", "Speaker")) for t in texts) < 120
+    got = [r.line_accuracy for r in transcripts.recover(lines).filter("held_out").select("conv_id", "line_accuracy").distinct().collect()]
+    assert sum(got) / len(got) > 0.8
