@@ -17,11 +17,12 @@ common words are broadcast as a cache; all others, pairs never seen in training
 document and joined. The size of the caches does not change a result.
 
 Defined results: null and empty texts are the end token alone; without training texts N, V and all counts are 0
-and the tree answers 1/2 for each bit; equal ids are scored row by row; extra columns are ignored.
+and the tree answers 1/2 for each bit; equal ids are scored row by row; texts of any length are read in segments; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -333,7 +334,8 @@ def held_out(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, frequent: int = 200_000,
           frequent_codes: int = 500_000, split: int = 3, codes_per_bucket: int = 100_000) -> DataFrame:
-    """One row per document: unigram base score and the tree's log10 probability of the lower-cased text."""
+    """One row per document: unigram base score, the tree's log10 probability of the lower-cased text and, from it,
+    the code length in bits per byte (null for an empty text)."""
     spark = docs.sparkSession
     rows = narrow(docs, id_col, text_col)
     counts = gather(rows.filter(~held_out(F.col("doc_id"))), depth)
@@ -398,11 +400,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                     is_code.append(False)
         more, whole = [None] * len(numbers), len(texts)
         return {"doc_id": [*ids, *[ids[i] for i in numbers]], "row": [*range(first, first + whole), *[first + i for i in numbers]],
-                "n_tokens": [*n_tokens, *more], "n_known": [*n_known, *more], "logs": [*logs, *more],
+                "n_bytes": [*map(len, texts), *more], "n_tokens": [*n_tokens, *more], "n_known": [*n_known, *more], "logs": [*logs, *more],
                 "model": [*model.tolist(), *more], "is_code": [None] * whole + is_code,
                 "rare": [None] * whole + rare, "times": [None] * whole + times}
 
-    scored = stored(map_texts(rows, "doc_id; row long; n_tokens long; n_known long; logs double; model double; "
+    scored = stored(map_texts(rows, "doc_id; row long; n_bytes long; n_tokens long; n_known long; logs double; model double; "
                                     "is_code boolean; rare array<long>; times array<long>", batch))
     rare = scored.select("row", "is_code", held_out(F.col("doc_id")).alias("held"),
                          F.explode(F.arrays_zip("rare", "times")).alias("e")).select(
@@ -420,4 +422,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"),
-        (F.col("model") + F.coalesce("bits", F.lit(0.0))).alias("score"))
+        (F.col("model") + F.coalesce("bits", F.lit(0.0))).alias("score"), "n_bytes").withColumn(
+        "bits_per_byte", -F.col("score") * math.log2(10) / F.nullif("n_bytes", F.lit(0))).drop("n_bytes")

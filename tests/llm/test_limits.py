@@ -1,13 +1,14 @@
 """Long entities, ids of any type, formats that run out, lines without numbers."""
 
 import hashlib
+import math
 import random
 import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from paytally.llm import imatch, surrogates, transcripts
+from paytally.llm import context_tree, imatch, surrogates, transcripts
 
 
 def test_a_long_entity_costs_no_more_per_character(spark, docs_of):
@@ -132,3 +133,11 @@ def test_transcripts_with_unseen_and_missing_labels(spark):
     assert 10 < sum(not t.startswith((*known, "Caller", "Operator", "Speaker")) for t in texts) < 120
     got = [r.line_accuracy for r in transcripts.recover(lines).filter("held_out").select("conv_id", "line_accuracy").distinct().collect()]
     assert sum(got) / len(got) > 0.8
+
+
+def test_bits_per_byte(docs_of):
+    rows = [(i, f"some text that repeats {i % 3}") for i in range(40)] + [(90, ""), (91, None)]
+    got = {r.doc_id: r for r in context_tree.score(docs_of(rows), depth=2).collect()}
+    assert got[90].bits_per_byte is None and got[91].bits_per_byte is None
+    for i, t in rows[:40]:
+        assert abs(got[i].bits_per_byte + got[i].score / math.log10(2) / len(t)) < 1e-9 and 0 < got[i].bits_per_byte < 8
