@@ -404,6 +404,41 @@ def normality(f: DataFrame, column: str = "amount") -> DataFrame:
     )
 
 
+def anderson_darling(f: DataFrame, column: str = "amount") -> DataFrame:
+    """Anderson-Darling statistic of all rows against the normal with their mean and deviation.
+
+    The statistic needs every row's rank. Rows are counted by value, the values range-partitioned and
+    their ranks taken from running totals, so ties are one row and no task holds all values. The adjusted
+    statistic and its 5 % limit are those for an estimated mean and deviation. Fewer than two rows, or
+    equal ones, have no statistic.
+    """
+    rows = successful(f).select(dbl(column).alias("x")).filter(F.col("x").isNotNull())
+    parts = in_ranges(rows.groupBy("x").agg(F.count(F.lit(1)).alias("w")), "x")
+    mean = parts.agg(F.sum("w").alias("n"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"))
+    gap = F.col("x") - F.col("mean")
+    sample = parts.crossJoin(F.broadcast(mean)).groupBy("n", "mean").agg(  # one row
+        F.sqrt(F.sum(gap * gap * F.col("w")) / F.nullif(F.max("n") - 1, F.lit(0))).alias("sd"))
+    ranked = running_sums(parts, ["x"], r="w").crossJoin(F.broadcast(sample))  # one row
+    z = gap / F.nullif(F.col("sd"), F.lit(0.0)) / math.sqrt(2)
+    n, upto, before = dbl("n"), dbl("r_upto"), dbl(F.col("r_upto") - F.col("w"))
+
+    def log(tail: Column) -> Column:
+        return F.when(tail.isNotNull(), F.ln(F.greatest(tail / 2, F.lit(1e-300))))
+
+    weighed = (upto * upto - before * before) * log(erfc(-z)) + (
+        (n - before) * (n - before) - (n - upto) * (n - upto)) * log(erfc(z))
+    row = ranked.select("n", weighed.alias("s")).agg(F.max("n").alias("n"), F.sum("s").alias("s"))
+    a2 = -n - F.col("s") / n
+    adjusted = F.col("a2") * (1 + 0.75 / n + 2.25 / (n * n))
+    return row.withColumn("a2", a2).select(
+        F.coalesce("n", F.lit(0)).alias("n"), rnd("a2", 4).alias("anderson_darling"),
+        rnd(adjusted, 4).alias("adjusted"), (adjusted > AD_LIMIT).alias("rejected"))
+
+
+#: Fixed value: 5 % limit of the adjusted statistic, mean and deviation estimated.
+AD_LIMIT = 0.752
+
+
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over the range of the column; the last bin is closed. Empty bins are kept."""
     x = df.select(dbl(column).alias("x")).filter(F.col("x").isNotNull())

@@ -13,6 +13,7 @@ from paytally.functions.skew import skewed_join
 from paytally.operators import bands, clv, cohort, etl, measures, rfm, stats, whatif
 from paytally.plans.catalog import _QUERIES, add
 from paytally.plans.catalog_platform import FACT, fact
+from paytally.plans.catalog_stats import _upper
 from paytally.plans.sqltext import JOIN_CH, MONTH, N, SNET, big, dbl, sql
 
 Z = repr(bands._z(0.95))
@@ -74,6 +75,27 @@ def _percentiles():
         + f" FROM (SELECT {dbl(SNET)} AS net FROM s GROUP BY customer_id)"))
 
 
+def _normality():
+    # The normal's distribution function at sorted values: Simpson's rule from each value to the next, added up.
+    x = dbl("amount")
+    density = "exp(-({0})*({0})/2)/sqrt(2*pi())".format
+    add("sx_13_anderson_darling", fact(stats.anderson_darling), sql(
+        f"""SELECT n, round(a2,4) AS anderson_darling, round(adj,4) AS adjusted,
+        CAST(adj > {stats.AD_LIMIT} AS VARCHAR) AS rejected FROM (SELECT n, a2, a2*(1 + 0.75/n + 2.25/(n*n)) AS adj FROM (
+        SELECT max(n) AS n, -max(n) - sum((r*r - (r - w)*(r - w))*ln(1 - u) + ((n - r + w)*(n - r + w) - (n - r)*(n - r))*ln(u))
+          /max(n) AS a2 FROM p))""",
+        v=f"SELECT {x} AS x, count(*) AS w FROM s GROUP BY 1",
+        m="SELECT sum(w) AS n, sum(x*w)/sum(w) AS mean FROM v",
+        d="SELECT max(n) AS n, max(mean) AS mean, sqrt(sum((x - mean)*(x - mean)*w)/(max(n) - 1)) AS sd FROM v, m",
+        z="""SELECT (x - mean)/sd AS z, CAST(w AS DOUBLE) AS w, CAST(n AS BIGINT) AS n,
+          CAST(sum(w) OVER (ORDER BY x) AS DOUBLE) AS r FROM v, d""",
+        g="SELECT *, lag(z) OVER (ORDER BY z) AS y FROM z",
+        q=f"""SELECT *, CASE WHEN y IS NULL THEN 0 ELSE (z - y)/6*({density('y')} + 4*{density('(y + z)/2')} + {density('z')}) END AS part
+          FROM g""",
+        t=f"SELECT {_upper('z')} AS top FROM (SELECT min(z) AS z FROM z)",
+        p="SELECT n, w, r, top - sum(part) OVER (ORDER BY z) AS u FROM q, t"))
+
+
 def _hot_keys():
     def hot(st):
         """A third of the payments belongs to one merchant."""
@@ -148,6 +170,7 @@ def register():
     known = {name: statement for name, (_, statement) in _QUERIES.items()}
     _bands()
     _percentiles()
+    _normality()
     _hot_keys()
     _buckets(known)
     _lattice(known)

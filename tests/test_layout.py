@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paytally.functions import select
-from paytally.operators import bands, cohort, etl, kpi, measures, quality, rfm
+from paytally.operators import bands, cohort, etl, kpi, measures, quality, rfm, stats
 from paytally.sources import schemas
 
 
@@ -170,3 +170,18 @@ def test_totals_without_distinct_aggregates(facts):
     empty = rows(kpi.gmv_summary(facts()))[0]
     assert (empty["total_txn_count"], empty["unique_customers"], empty["total_gmv"]) == (0, 0, None)
     assert "Expand" not in kpi.gmv_summary(f)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_anderson_darling_with_ties(facts):
+    from math import erfc, log, sqrt
+
+    f = facts(*some_payments(150), *[payment(1_000 + i, "2025-01-01", amount="150.00") for i in range(30)])
+    x = sorted(float(r["amount"]) for r in rows(f))
+    n, mean = len(x), sum(x) / len(x)
+    sd = sqrt(sum((v - mean) ** 2 for v in x) / (n - 1))
+    low = [erfc(-(v - mean) / sd / sqrt(2)) / 2 for v in x]
+    a2 = -n - sum((2 * i + 1) * (log(low[i]) + log(1 - low[n - 1 - i])) for i in range(n)) / n
+    got = rows(stats.anderson_darling(f))[0]
+    assert got["n"] == n and got["anderson_darling"] == pytest.approx(a2, abs=1e-3) and got["rejected"]
+    assert rows(stats.anderson_darling(facts()))[0]["anderson_darling"] is None
+    assert rows(stats.anderson_darling(facts(payment(1, "2025-01-01"))))[0]["anderson_darling"] is None
