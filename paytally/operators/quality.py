@@ -87,7 +87,7 @@ def orphans(f: DataFrame, star: dict[str, DataFrame]) -> DataFrame:
     counts = per_key.join(known.distinct(), ["issue", "key"], "left").groupBy("issue").agg(
         F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n"))
     issues = values(f.sparkSession, [(i, k[0]) for i, k in enumerate(keys)], "i int, issue string")
-    return issues.join(counts.withColumnRenamed("issue", "_i"), F.col("i") == F.col("_i"), "left").select(
+    return issues.join(counts.withColumnRenamed("issue", "_i"), F.col("i") == F.col("_i"), "left").orderBy("i").select(
         "issue", F.coalesce("n", F.lit(0)).cast("long").alias("orphan_count"))
 
 
