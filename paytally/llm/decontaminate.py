@@ -11,7 +11,8 @@ The benchmark is the query set: it is taken in blocks of at most ``block_bytes``
 broadcast and held against all documents. Documents are never shuffled for a single block.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing;
-a repeated item counts once; rows with equal ids are judged one by one.
+a repeated item counts once; rows with equal ids are judged one by one; texts may be of any length; an
+empty table gives no rows and an empty benchmark no hits; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ proportion to its weight. Changing a weight moves rows only between that child a
 inside all other subtrees every row stays where it was.
 
 Defined results: null keys draw like a key of their own; repeated keys share a shard; a null text
-counts 16 bytes and has the checksum of the empty text; an empty table gives no rows.
+counts 16 bytes and has the checksum of the empty text; texts may be of any length; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@
    (128 bits with the anchor) and counted by Spark, which gives the same answer for them.
 
 Defined results: null counts as empty; texts shorter than ``length`` are kept; a text that repeats is removed
-throughout if it has ``length`` bytes; rows that repeat with their id are copies like any other; extra columns
-are ignored.
+throughout if it has ``length`` bytes; rows that repeat with their id are copies like any other; long texts are
+read in slices that overlap; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

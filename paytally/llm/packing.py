@@ -8,7 +8,8 @@ with a gap keeps its full sequences and gives the pieces of the others to a comm
 anew (all gap partitions mixed) and packed again, until no round saves a sequence.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; ids
-are carried as they are (null too); an empty table gives no rows.
+are carried as they are (null too); pieces of equal length go in the order of their partition; a text of
+any length is tokenised whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,12 +5,15 @@ from a root to a node becomes a conjunctive rule. A lasso logistic regression ov
 them, and the rest are compiled into one Spark column expression, which scores all documents without
 Python.
 
-``max_labelled`` bounds the labelled rows that train the model (those with the smallest id hash); scoring
+``max_labelled`` bounds the labelled rows that train the model (a share of them drawn by id hash); scoring
 covers every row. Labels, language, source and id are never inputs.
 
 Defined results: null and empty texts have statistics of zero and get a score like any other; labels that
 are null or whose document is missing are ignored; repeated rows get equal scores; without two classes
-of labels, or with too few for a split, the score is the share of label 1 (0.5 without labels).
+of labels, or with too few for a split, the score is the share of label 1 (0.5 without labels); a score
+equal to the threshold predicts 1; texts of any length are read whole; an empty table gives no rows; only
+the id and the text are read, so extra columns cannot clash. The forest draws rows by partition, so scores
+may differ slightly between clusters of other sizes.
 """
 
 from __future__ import annotations

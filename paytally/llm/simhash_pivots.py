@@ -12,7 +12,8 @@ differ by at most 2 bits exactly if they share a fingerprint at distance 1 or le
 fingerprints meet at one such point. This loses no link and emits 65 rows per member.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other;
-rows with equal ids are kept; a null id does not count as the smallest; an empty table gives no rows.
+rows with equal ids are kept; a null id does not count as the smallest; texts may be of any length; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Only entities that drew again need a lookup; they are few. Up to ``max_inline``
 beyond that they are joined to their documents. Texts are not shuffled otherwise.
 
 Defined results: null text stays null and empty stays empty; a text without entities is unchanged; repeated
-rows are rewritten alike; other columns are carried along unchanged, whatever their names.
+rows are rewritten alike; entities and texts may be of any length, at a cost in proportion; an empty
+table gives an empty table; other columns are carried along unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ within blocks and across them. Sorted Arrow streams carry many blocks at a time,
 chunk advance together, so short transcripts cost no more per line than long ones.
 
 Defined results: null and empty lines are blank lines of the current turn; a transcript of blank lines is one
-empty turn; repeated (transcript, line) rows follow each other in text order; no rows give no rows.
+empty turn; repeated (transcript, line) rows follow each other in text order; lines without a number come
+first, as number -1; lines may be of any length; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
