@@ -153,8 +153,9 @@ def previous(c: str, order: str, *within: str) -> Column:
 # --- aggregation -------------------------------------------------------------------------------
 
 
-def totals(f: DataFrame, *by: str | Column) -> DataFrame:
-    """Standard measures by key. Decimal sums keep full precision; unused ones are pruned.
+def totals(f: DataFrame, *by: str | Column, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Standard measures by key. Decimal sums keep full precision; unused ones are pruned. ``more`` adds named
+    aggregates to the same pass; they must not be distinct counts.
 
     Net revenue is linear in its parts, so it is derived once per group instead of once per row.
     The single distinct count is planned by Spark as a two-level aggregate on (key, customer), which
@@ -191,6 +192,7 @@ def totals(f: DataFrame, *by: str | Column) -> DataFrame:
             F.min("txn_date").alias("first_date"),
             F.max("txn_date").alias("last_date"),
             F.countDistinct("customer_id").alias("users"),
+            *more,
         )
         .withColumns(
             {

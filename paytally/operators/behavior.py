@@ -152,8 +152,9 @@ def hour_month_matrix(f: DataFrame) -> DataFrame:
     return wide.select("hour", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)]).orderBy("hour")
 
 
-def trailing_users(f: DataFrame, days: int = 30) -> DataFrame:
-    """Distinct customers in the ``days`` days up to each date, without expanding rows.
+def trailing_users(f: DataFrame, days: int = 30, active: DataFrame | None = None) -> DataFrame:
+    """Distinct customers in the ``days`` days up to each date, without expanding rows. ``active`` may give
+    ``user_days`` where they are stored already.
 
     An active day keeps a customer in the count for ``days`` days or until the next active day,
     whichever is earlier. Each such stretch is +1 at its start and -1 after its end; a running total
@@ -161,7 +162,7 @@ def trailing_users(f: DataFrame, days: int = 30) -> DataFrame:
     """
     history = Window.partitionBy("customer_id").orderBy("txn_date")
     expiry = F.date_add("txn_date", days)
-    stretch = user_days(f).select(
+    stretch = (user_days(f) if active is None else active).select(
         "txn_date",
         F.least(expiry, F.coalesce(F.lead("txn_date").over(history), expiry)).alias("until"),
     )
@@ -173,7 +174,8 @@ def trailing_users(f: DataFrame, days: int = 30) -> DataFrame:
             )
         ).alias("e")
     ).groupBy("e.date").agg(F.sum("e.step").alias("step"))
-    span = successful(f).agg(F.min("txn_date").alias("a"), F.max("txn_date").alias("b"))
+    span = (successful(f) if active is None else active).agg(
+        F.min("txn_date").alias("a"), F.max("txn_date").alias("b"))
     dates = span.select(F.explode(F.sequence("a", F.last_day("b"))).alias("date"))
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     users = F.sum(F.coalesce("step", F.lit(0))).over(upto)

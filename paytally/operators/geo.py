@@ -41,12 +41,10 @@ def top_cities(f: DataFrame, dim_city: DataFrame, n: int = 20) -> DataFrame:
 
 
 def tier(f: DataFrame, dim_city: DataFrame) -> DataFrame:
-    """Tier summary. ``city_count`` counts the cities with a SUCCESS payment, from per-city rows."""
-    located = _located(f, dim_city)
-    cities = located.select("tier", "city_id").distinct().groupBy("tier").agg(
-        F.count(F.lit(1)).alias("city_count")
-    )
-    return totals(located, "tier").join(cities, "tier").select(
+    """Tier summary. ``city_count`` counts the cities with a SUCCESS payment: a set of at most the dimension's
+    cities, so that a second distinct count does not multiply the rows."""
+    cities = F.size(F.collect_set("city_id")).cast("long").alias("city_count")
+    return totals(_located(f, dim_city), "tier", more=(cities,)).select(
         "tier",
         "city_count",
         "txn_count",

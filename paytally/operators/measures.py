@@ -9,6 +9,7 @@ from paytally.functions.expr import (
     by_month, growth, lookup, money, month_index, month_key, month_of_index, month_start, pct,
     previous, ratio, rnd, successful, totals,
 )
+from paytally.functions.ordered import checkpointed
 from paytally.operators import behavior
 from paytally.operators.rollup import SUMS, sums
 
@@ -79,14 +80,18 @@ def answer(table: DataFrame, dims: list[str], filters: dict[str, list] | None =
 
 
 def users(f: DataFrame) -> DataFrame:
-    """User measures by month; ``mau_30d`` is the trailing 30-day count at the month's end."""
-    months = behavior.user_days(f).groupBy(month_start().alias("m")).agg(
+    """User measures by month; ``mau_30d`` is the trailing 30-day count at the month's end.
+
+    The fact is read once, for one row per customer and day; the rest reads those.
+    """
+    active = checkpointed(behavior.user_days(f))
+    months = active.groupBy(month_start().alias("m")).agg(
         F.count(F.lit(1)).alias("user_days"),
         F.sum("n").alias("txns"),
         behavior.days_of_month("txn_date").alias("days"),
         F.countDistinct("customer_id").alias("users"),
     )
-    trailing = behavior.trailing_users(f, 30).select(
+    trailing = behavior.trailing_users(f, 30, active).select(
         F.trunc("date", "MM").alias("m"), "date", F.col("users").alias("mau_30d")
     )
     ends = trailing.filter(F.col("date") == F.last_day("date"))
