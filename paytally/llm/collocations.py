@@ -263,7 +263,8 @@ def survivors(docs: DataFrame, order: int, threshold: int, bits: int, mass: int)
             for at in range(0, len(v), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[at:at + 100_000].astype(np.int64))], names=["v"])
 
-    return packed.repartition(1 << bits, "p").mapInArrow(merge, "v long")
+    # Partitions by number, so that no task gets several of them by chance.
+    return packed.repartitionById(1 << bits, F.col("p").cast("int")).mapInArrow(merge, "v long")
 
 
 def bitmap(found: DataFrame, bits: int) -> np.ndarray:
