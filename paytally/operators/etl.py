@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paytally.functions.expr import SUCCESS, net_revenue
-from paytally.functions.ordered import checkpointed
+from paytally.functions.ordered import checkpointed, stored
 
 
 def daily_rollup(f: DataFrame) -> DataFrame:
@@ -70,6 +70,11 @@ def upsert_refunds(f: DataFrame, updates: DataFrame, order: str | None = None) -
     updates can be broadcast.
     """
     updates = one_per_id(updates, order)
+    return _upsert(f, updates, _loaded_ids(f, updates))
+
+
+def _upsert(f: DataFrame, updates: DataFrame, loaded: DataFrame) -> DataFrame:
+    """``upsert_refunds`` of updates with one row per id; ``loaded`` has those of their ids that ``f`` holds."""
     changed = [c for c in ("refunded_amt", "settlement_date") if c in updates.columns]
     new = updates.select(
         "transaction_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed]
@@ -81,7 +86,7 @@ def upsert_refunds(f: DataFrame, updates: DataFrame, order: str | None = None) -
         return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
     kept = f.join(new, "transaction_id", "left").select(*[value(c) for c in f.columns])
-    fresh = updates.join(_loaded_ids(f, updates), "transaction_id", "left_anti")
+    fresh = updates.join(loaded, "transaction_id", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True).select(*f.columns)
 
 
@@ -96,20 +101,29 @@ def with_period(f: DataFrame, grain: str = "day") -> DataFrame:
     return f.withColumn(PERIOD, F.date_format("txn_date", GRAINS[grain]))
 
 
-def save_by_period(f: DataFrame, path: str, grain: str = "day") -> None:
-    """Store the fact as Parquet, one folder per period and at most one file per period and task.
+def _placed(f: DataFrame, grain: str) -> DataFrame:
+    """Rows with their period, in the tasks that write them.
 
-    Rows are dealt by period and id, so a period that holds a third of all rows is written by all tasks.
+    Months and years are few, so each task writes the rows it has, without a shuffle of the fact. Days are
+    many: their rows are dealt by day and id first, so that files stay few and a day that holds a third of
+    all rows is written by all tasks.
     """
+    placed = with_period(f, grain)
+    if grain != "day":
+        return placed
     n = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = F.pmod(F.xxhash64("transaction_id"), F.lit(max(1, n // 8)))
-    with_period(f, grain).repartition(n, F.col(PERIOD), dealt).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
+    return placed.repartition(n, F.col(PERIOD), F.pmod(F.xxhash64("transaction_id"), F.lit(max(1, n // 8))))
+
+
+def save_by_period(f: DataFrame, path: str, grain: str = "day") -> None:
+    """Store the fact as Parquet, one folder per period and at most one file per period and task."""
+    _placed(f, grain).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
 
 
-def _within(periods: list[str | None]) -> Column:
+def _within(periods: list[str | None], column: str = PERIOD) -> Column:
     """Literal condition on the partition column, so that the scan lists those folders only."""
-    known = F.col(PERIOD).isin(*[p for p in periods if p is not None])
-    return known | F.col(PERIOD).isNull() if None in periods else known
+    known = F.col(column).isin(*[p for p in periods if p is not None])
+    return known | F.col(column).isNull() if None in periods else known
 
 
 def stored_fact(spark: SparkSession, path: str) -> DataFrame:
@@ -123,40 +137,51 @@ def merge_refunds(spark: SparkSession, path: str, updates: DataFrame, grain: str
     """Merge a batch of late refunds (see upsert_refunds) into the fact stored at ``path``.
 
     Only the periods of the batch are read, and of those only the ones where a value differs or an id is
-    new are replaced, so a batch that is merged again changes no file. The batch is computed once. A
-    batch without ``txn_date`` has it looked up by id, a scan of two columns. Merged periods are
-    checkpointed before they replace the old ones. Returns period, updated and inserted rows.
+    new are replaced, so a batch that is merged again changes no file. The batch is computed once and
+    meets the ids and values of the fact once; whole rows are read and moved only where periods are
+    replaced. A batch without ``txn_date`` has it looked up by id in the same join. The writer puts new
+    files beside the old ones and swaps them when all are written. Returns period, updated and inserted
+    rows.
     """
     fact = stored_fact(spark, path)
+    kinds = {f.name: f.dataType for f in fact.schema}
     updates = one_per_id(updates, order)
-    if "txn_date" not in updates.columns:
-        dates = fact.select("transaction_id", "txn_date").join(
-            updates.select("transaction_id"), "transaction_id", "left_semi").dropDuplicates(["transaction_id"])
-        updates = updates.join(dates, "transaction_id", "left")
-    updates = checkpointed(with_period(updates, grain))
-    # Periods are days, months or years of the calendar: few by nature.
-    old = fact.filter(_within([r[0] for r in updates.select(PERIOD).distinct().collect()]))
+    updates = updates.withColumns({c: F.col(c).cast(kinds[c]) for c, k in updates.dtypes if k == "void" and c in kinds})
     values = [c for c in ("refunded_amt", "settlement_date") if c in updates.columns]
-    new = updates.select("transaction_id", *[F.col(c).alias(f"_new_{c}") for c in values])
-    held = old.select("transaction_id", PERIOD, *values).join(new, "transaction_id")
+    dated, old = "txn_date" in updates.columns, fact
+    if dated:
+        updates = stored(with_period(updates, grain), "batch")
+        # Periods are days, months or years of the calendar: few by nature.
+        old = fact.filter(_within([r[0] for r in updates.select(PERIOD).distinct().collect()]))
+    held = old.select("transaction_id", F.col("txn_date").alias("_date"), F.col(PERIOD).alias("_held"),
+                      F.lit(1).alias("_hit"), *[F.col(c).alias(f"_old_{c}") for c in values])
     differs = F.lit(False)
     for c in values:
-        kind = fact.schema[c].dataType
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_new_{c}").cast(kind))
-    changed = held.filter(differs).groupBy(PERIOD).agg(
-        F.count(F.lit(1)).alias("updated"), F.lit(0).cast("long").alias("inserted"))
-    fresh = updates.select("transaction_id", PERIOD).join(
-        old.select("transaction_id"), "transaction_id", "left_anti").groupBy(PERIOD).agg(
-        F.lit(0).cast("long").alias("updated"), F.count(F.lit(1)).alias("inserted"))
-    report = checkpointed(changed.unionByName(fresh).groupBy(PERIOD).agg(
-        F.sum("updated").alias("updated"), F.sum("inserted").alias("inserted")))
+        differs = differs | ~F.col(f"_old_{c}").eqNullSafe(F.col(c).cast(kinds[c]))
+    # A row per id and period that holds it, or per id that no period holds; grouped where they were joined.
+    met = updates.join(held, "transaction_id", "left").groupBy(*updates.columns, "_held").agg(
+        F.max("_date").alias("_date"), F.count("_hit").alias("_rows"),
+        F.count_if(F.col("_hit").isNotNull() & differs).alias("_differ"))
+    if not dated:
+        by_id = Window.partitionBy("transaction_id")
+        met = with_period(met.withColumns({
+            "txn_date": F.max("_date").over(by_id), "_first": F.row_number().over(by_id.orderBy("_held"))}), grain)
+    met = stored(met, "met")
+    if not dated:
+        updates = met.filter("_first = 1").drop("_first", "_held", "_date", "_rows", "_differ")
+        covered = [r[0] for r in met.select(PERIOD).distinct().collect()]
+        met = met.filter((F.col("_rows") == 0) | _within(covered, "_held"))
+    report = checkpointed(met.select(
+        F.when(F.col("_rows") > 0, F.col("_held")).otherwise(F.col(PERIOD)).alias(PERIOD),
+        F.col("_differ").alias("updated"), (F.col("_rows") == 0).cast("long").alias("inserted"),
+    ).groupBy(PERIOD).agg(F.sum("updated").alias("updated"), F.sum("inserted").alias("inserted")).filter(
+        "updated + inserted > 0"))
     touched = [r[0] for r in report.select(PERIOD).collect()]
     if touched:
-        batch = updates.filter(_within(touched))
-        merged = upsert_refunds(fact.filter(_within(touched)), batch)
-        kinds = {f.name: f.dataType for f in fact.schema}
-        checkpointed(merged.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
+        loaded = met.filter((F.col("_rows") > 0) & _within(touched, "_held")).select("transaction_id")
+        merged = _upsert(fact.filter(_within(touched)), updates.filter(_within(touched)), loaded)
+        merged.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
         spark.catalog.refreshByPath(path)
     return report
 

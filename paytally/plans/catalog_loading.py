@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from paytally.functions.expr import lookup, month_key, month_start
-from paytally.functions.ordered import scratch
+from paytally.functions.ordered import scratch, stored
 from paytally.operators import etl, rollup
 from paytally.plans import export
 from paytally.plans.catalog import _QUERIES, add
@@ -89,7 +89,7 @@ def _merged(st, again: bool) -> tuple[DataFrame, DataFrame]:
     spark = st[FACT].sparkSession
     path = f"{scratch(spark, 'fact')}/fact"
     etl.save_by_period(st[FACT], path, "month")
-    batch = late_refunds(st[FACT])
+    batch = stored(late_refunds(etl.stored_fact(spark, path)), "late")
     report = etl.merge_refunds(spark, path, batch, "month")
     if again:
         report = etl.merge_refunds(spark, path, batch, "month")

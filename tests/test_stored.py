@@ -8,8 +8,9 @@ import pytest
 from conftest import payment, rows
 from pyspark.sql import functions as F
 
+from paytally.functions.ordered import checkpointed
 from paytally.operators import etl, rollup
-from paytally.plans import export
+from paytally.plans import catalog_loading, catalog_platform, export
 from paytally.sources import schemas
 from paytally.sources.csvscan import split_csv
 from paytally.sources.readers import read_star
@@ -147,3 +148,70 @@ def test_star_from_csv_still_fails_fast_by_default(spark, tmp_path):
     (tmp_path / "dim_channel").write_text("channel_id,channel_name\nx,UPI\n")
     with pytest.raises(Exception):
         read_star(spark, str(tmp_path), "csv")["dim_channel"].collect()
+
+
+# --- the fact is computed once -----------------------------------------------------------------
+
+def counted(spark, f):
+    """The frame, and a counter of the rows computed for it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def pass_on(i):
+        seen.add(1)
+        return i
+
+    return f.withColumn("transaction_id", pass_on.asNondeterministic()("transaction_id")), seen
+
+
+def some_payments(facts):
+    return facts(*[payment(i, f"2025-0{1 + i % 3}-05", customer=i % 4, status="FAILED" if i % 2 else "SUCCESS", city=i % 3)
+                   for i in range(12)])
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_merge_computes_the_fact_once(spark, facts, again):
+    f, seen = counted(spark, some_payments(facts))
+    merged, report = catalog_loading._merged({"fact_transactions": f}, again)
+    assert len(rows(report)) == (0 if again else 4)  # three months, and new ids without a date
+    assert sorted(r["transaction_id"] for r in rows(merged)) == [-3, -2, -1, *range(12)]
+    assert seen.value == 12
+
+
+def test_merge_moves_whole_rows_only_into_the_table(spark, facts, tmp_path, monkeypatch):
+    """Merged rows go to the table at once, not by way of a checkpoint; only the short report is one."""
+    etl.save_by_period(some_payments(facts), f"{tmp_path}/fact", "month")
+    kept = []
+    monkeypatch.setattr(etl, "checkpointed", lambda df: kept.append(df.columns) or checkpointed(df))
+    batch = batch_of(spark, (1, "2025-02-05", "5.00"), (50, "2025-03-05", "7.00"))
+    assert sorted(map(tuple, etl.merge_refunds(spark, f"{tmp_path}/fact", batch, "month").collect())) == [
+        ("2025-02", 1, 0), ("2025-03", 0, 1)]
+    assert kept == [["period", "updated", "inserted"]]
+
+
+@pytest.mark.parametrize("dated", [True, False])
+def test_merge_of_repeated_null_and_misdated_ids(spark, facts, tmp_path, dated):
+    """Each row of a repeated id is updated, null ids stay, an id is looked for in the periods of the batch."""
+    old = facts(payment(1, "2025-01-05"), payment(1, "2025-01-05", amount="9.00"), payment(None, "2025-01-06"),
+                payment(2, "2025-02-07"), payment(3, "2025-03-08"))
+    etl.save_by_period(old, f"{tmp_path}/fact", "month")
+    batch = batch_of(spark, (1, "2025-01-05", "5.00"), (2, "2025-02-07", "0.00"), (None, "2025-03-01", "8.00"),
+                     (9, "2025-02-01", "7.00"))
+    batch = batch.withColumn("settlement_date", F.when(F.col("transaction_id") == 2, F.lit(dt.date(2025, 2, 7)))
+                             .otherwise(F.col("settlement_date")))
+    report = etl.merge_refunds(spark, f"{tmp_path}/fact", batch if dated else batch.drop("txn_date"), "month")
+    assert {r["period"]: (r["updated"], r["inserted"]) for r in rows(report)} == {
+        "2025-01": (2, 0), "2025-02" if dated else None: (0, 1)}
+    got = sorted((r["transaction_id"] or 0, r["refunded_amt"]) for r in rows(etl.stored_fact(spark, f"{tmp_path}/fact")))
+    assert got == [(0, 0), (1, 5), (1, 5), (2, 0), (3, 0), (9, 7)]
+
+
+def test_months_are_stored_without_a_shuffle_and_days_in_few_files(spark, facts, tmp_path):
+    old = some_payments(facts).repartition(3)
+    for grain in ("month", "day"):
+        etl.save_by_period(old, f"{tmp_path}/{grain}", grain)
+        assert sorted(r["transaction_id"] for r in rows(etl.stored_fact(spark, f"{tmp_path}/{grain}"))) == list(range(12))
+    plans = []
+    for grain in ("month", "day"):
+        plans.append(etl._placed(old, grain)._jdf.queryExecution().optimizedPlan().toString())
+    assert "xxhash64" not in plans[0] and "xxhash64" in plans[1]
