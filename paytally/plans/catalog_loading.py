@@ -152,22 +152,23 @@ def _rollups():
         FROM s GROUP BY 1, 2"""))
 
 
-def _publishing(statements: dict[str, str]):
-    names = [n for n in export.EXTRACTS if n[:2].isdigit()]
+def _published(st, names: list[str], show: Callable) -> DataFrame:
+    """What ``show`` reads of a published run. The fact is computed once, and the sets scan the stored columns."""
+    spark = st[FACT].sparkSession
+    out = scratch(spark, "published")
+    export.publish({**st, FACT: stored(st[FACT], "fact")}, out, names=names)
+    return show(spark, out)
 
-    def published(st, show: Callable):
-        spark = st[FACT].sparkSession
-        out = scratch(spark, "published")
-        export.publish(st, out, names=names)
-        return show(spark, out)
 
+def _publishing(statements: dict[str, str]):
+    names = [n for n in export.EXTRACTS if n[:2].isdigit()]
     queries = {n: next(q for q in statements if q.startswith(f"exp_{n[:2]}_")) for n in names}
     counts = " UNION ALL ".join(
         f"SELECT '{n}' AS name, count(*) AS n_rows FROM ({statements[q]}) x{n[:2]}" for n, q in queries.items())
-    add("snk_01_publish_manifest", lambda st: published(
-        st, lambda spark, out: export.manifest(spark, out).select("name", "n_rows")), counts)
-    add("snk_01_published_kpis", lambda st: published(
-        st, lambda spark, out: export.read_published(spark, out, "01_monthly_kpi")), statements[queries["01_monthly_kpi"]])
+    add("snk_01_publish_manifest", lambda st: _published(
+        st, names, lambda spark, out: export.manifest(spark, out).select("name", "n_rows")), counts)
+    add("snk_01_published_kpis", lambda st: _published(
+        st, names, lambda spark, out: export.read_published(spark, out, "01_monthly_kpi")), statements[queries["01_monthly_kpi"]])
 
 
 def register():

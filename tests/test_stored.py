@@ -215,3 +215,10 @@ def test_months_are_stored_without_a_shuffle_and_days_in_few_files(spark, facts,
     for grain in ("month", "day"):
         plans.append(etl._placed(old, grain)._jdf.queryExecution().optimizedPlan().toString())
     assert "xxhash64" not in plans[0] and "xxhash64" in plans[1]
+
+
+def test_a_published_run_computes_the_fact_once(spark, facts):
+    f, seen = counted(spark, some_payments(facts))
+    names = ["01_monthly_kpi", "11_cashback_roi", "12_whatif_scenarios"]
+    found = catalog_loading._published({"fact_transactions": f}, names, export.manifest)
+    assert sorted(r["name"] for r in rows(found)) == names and seen.value == 12
