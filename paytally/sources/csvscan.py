@@ -60,7 +60,7 @@ def split_csv(spark: SparkSession, path: str, schema: StructType, out: str, head
     seen = Observation()
     marked = _scan(spark, path, schema, header).withColumn(BAD, F.col(LINE).isNotNull())
     marked.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col(BAD)).alias("bad")).write.mode(
-        "overwrite").partitionBy(BAD).parquet(out)
+        "overwrite").partitionBy(BAD).parquet(out, compression="zstd")
     stored = spark.read.schema(StructType([*schema.fields, StructField(LINE, StringType()),
                                            StructField(BAD, BooleanType())])).parquet(out)
     good = stored.filter(~F.col(BAD)).select(*schema.names)

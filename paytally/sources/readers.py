@@ -75,9 +75,9 @@ def calendar(spark: SparkSession, start: str, end: str, holidays: list[str] = ()
 
 
 def save_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
-               partition_by: list[str] = ()) -> None:
-    """Replace (or append to) the table stored at ``path``."""
-    writer = df.write.mode(mode).format(fmt)
+               partition_by: list[str] = (), **options) -> None:
+    """Replace (or append to) the table stored at ``path``; ``options`` are those of the writer."""
+    writer = df.write.mode(mode).format(fmt).options(**options)
     if fmt == "csv":
         writer = writer.options(header=True, escape='"')
     if partition_by:

@@ -217,6 +217,26 @@ def test_months_are_stored_without_a_shuffle_and_days_in_few_files(spark, facts,
     assert "xxhash64" not in plans[0] and "xxhash64" in plans[1]
 
 
+def test_csv_counts_compute_the_fact_once(spark, facts):
+    f, seen = counted(spark, some_payments(facts))
+    cities = spark.createDataFrame([(1, "A", "S", "Tier-1"), (2, 'B, "b"', None, "")], schemas.DIM_CITY)
+    found = rows(catalog_loading._csv_counts({"dim_city": cities, "fact_transactions": f}), "table_name")
+    assert {n: (r["lines"], r["bad_lines"], r["good_rows"]) for n, r in found.items()} == {
+        "dim_city": (2, 0, 2), "fact_transactions": (12, 0, 12), "damaged": (12, 1, 11)}
+    assert seen.value == 12
+
+
+@pytest.mark.parametrize("damaged", [False, True])
+def test_csv_lines_are_compressed_into_short_files(spark, facts, tmp_path, monkeypatch, damaged):
+    monkeypatch.setattr(catalog_loading, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setitem(catalog_loading.LINES, "maxRecordsPerFile", 5)
+    star = {"fact_transactions": some_payments(facts).coalesce(1)}
+    split = catalog_loading._damaged(star) if damaged else catalog_loading._csv(star, "fact_transactions")
+    assert (split.lines, split.bad_lines, split.good.count()) == (12, damaged, 12 - damaged)
+    names = [n for n in os.listdir(tmp_path / "csv" / "lines") if n.startswith("part-")]
+    assert len(names) == 3 and all(n.endswith(".lz4") for n in names)
+
+
 def test_a_published_run_computes_the_fact_once(spark, facts):
     f, seen = counted(spark, some_payments(facts))
     names = ["01_monthly_kpi", "11_cashback_roi", "12_whatif_scenarios"]
