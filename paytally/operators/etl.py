@@ -42,10 +42,10 @@ def one_per_id(batch: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def _loaded_ids(f: DataFrame, keys: DataFrame) -> DataFrame:
-    """The ids of ``keys`` that the fact holds. A batch is small against the fact, so Spark broadcasts
-    its ids into the scan below the broadcast threshold and shuffles only beyond it."""
-    ids = keys.select("transaction_id").distinct()
-    return f.select("transaction_id").join(ids, "transaction_id", "left_semi").distinct()
+    """The ids of ``keys`` that the fact holds, as often as it holds them, for an anti join. A batch is small
+    against the fact, so Spark broadcasts its ids into the scan below the broadcast threshold and shuffles only
+    beyond it."""
+    return f.select("transaction_id").join(keys.select("transaction_id"), "transaction_id", "left_semi")
 
 
 def new_rows(f: DataFrame, staging: DataFrame, order: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paytally.functions.ordered import stored
 from paytally.operators import (
     cashback, channel, cost, etl, geo, kpi, merchant, quality, retry,
 )
@@ -38,6 +39,14 @@ def late_refunds(f):
     return late.unionByName(fresh)
 
 
+def upserted(st):
+    """The fact with the late refunds. The columns of the fact are computed once, for batch and merge, and so is the
+    batch."""
+    shown = ["transaction_id", "refunded_amt", "settlement_date", "status", "amount"]
+    f = stored(st[FACT].select(*shown, "city_id"), "fact")
+    return etl.upsert_refunds(f, stored(late_refunds(f), "late")).select(*shown)
+
+
 def fact(query):
     return lambda st: query(st[FACT])
 
@@ -120,8 +129,7 @@ def _etl():
             old=f"SELECT * FROM fact_transactions WHERE txn_date < DATE '{LOADED}'"))
 
     add("etl_03_upsert_refunds",
-        lambda st: etl.upsert_refunds(st[FACT], late_refunds(st[FACT])).select(
-            "transaction_id", "refunded_amt", "settlement_date", "status", "amount"),
+        upserted,
         sql(f"""SELECT coalesce(f.transaction_id, u.transaction_id) AS transaction_id,
         {dbl('CASE WHEN u.transaction_id IS NOT NULL THEN u.refunded_amt ELSE f.refunded_amt END')}
           AS refunded_amt,

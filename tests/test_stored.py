@@ -217,6 +217,22 @@ def test_months_are_stored_without_a_shuffle_and_days_in_few_files(spark, facts,
     assert "xxhash64" not in plans[0] and "xxhash64" in plans[1]
 
 
+def test_upsert_computes_the_fact_once(spark, facts):
+    f, seen = counted(spark, some_payments(facts))
+    found = rows(catalog_platform.upserted({"fact_transactions": f}), "transaction_id")
+    assert sorted(found) == [-3, -2, -1, *range(12)] and seen.value == 12
+    assert found[1]["refunded_amt"] == Decimal("100.00") and found[2]["refunded_amt"] == 0
+
+
+def test_loaded_ids_are_not_grouped(spark, facts):
+    """They serve an anti join, which does not need them distinct; grouping them filled two hash maps a task."""
+    old = facts(payment(1, "2025-01-05"), payment(1, "2025-01-06"), payment(None, "2025-01-06"))
+    ids = spark.createDataFrame([(1,), (2,)], "transaction_id long")
+    found = etl._loaded_ids(old, ids)
+    assert {r["transaction_id"] for r in rows(found)} == {1}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_csv_counts_compute_the_fact_once(spark, facts):
     f, seen = counted(spark, some_payments(facts))
     cities = spark.createDataFrame([(1, "A", "S", "Tier-1"), (2, 'B, "b"', None, "")], schemas.DIM_CITY)
