@@ -224,6 +224,13 @@ def test_upsert_computes_the_fact_once(spark, facts):
     assert found[1]["refunded_amt"] == Decimal("100.00") and found[2]["refunded_amt"] == 0
 
 
+def test_upsert_deals_the_fact_into_a_given_number_of_parts(spark, facts):
+    """Parts sized by bytes held a growing number of rows: ids are a few bytes each when packed."""
+    found = catalog_platform.upserted({"fact_transactions": some_payments(facts)})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 or "ReusedExchange" in plan
+
+
 def test_loaded_ids_are_not_grouped(spark, facts):
     """They serve an anti join, which does not need them distinct; grouping them filled two hash maps a task."""
     old = facts(payment(1, "2025-01-05"), payment(1, "2025-01-06"), payment(None, "2025-01-06"))
