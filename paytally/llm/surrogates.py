@@ -1,4 +1,4 @@
-r"""PII: keyed surrogates for detected entities, with DataFrame and SQL functions only.
+r"""PII: keyed surrogates for detected entities, with DataFrame functions only.
 
 One pattern finds e-mail addresses, IPv4 addresses, IBANs, card numbers, phone numbers, social security
 numbers, credentials and titled person names. Every entity is replaced by a value of its own type and
@@ -8,6 +8,9 @@ hex alphabets, the title (gender) and the script of names are kept. Equal entiti
 documents and spellings (coreference). A check over all distinct entities keeps them apart: of entities with
 one surrogate all but the first draw again, as does any whose surrogate is itself an entity of the corpus.
 
+Expressions are built as columns: as SQL text they were so long that what the parser learnt from them stayed
+in the driver's memory.
+
 Only entities that drew again need a lookup; they are few. Up to ``max_inline`` of them travel as one map,
 beyond that they are joined to their documents. Texts are not shuffled otherwise.
 
@@ -18,6 +21,8 @@ table gives an empty table; other columns are carried along unchanged, whatever
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +50,7 @@ SYLLABLES = {
     "cyrillic": ["ба", "вер", "гор", "да", "жел", "зор", "ка", "лен", "мор", "на", "пел", "рос", "са", "тер", "фа", "хол"],
     "greek": ["βα", "γε", "δο", "ζα", "κα", "λε", "μο", "να", "πα", "ρε", "σο", "τα", "φα", "χε", "ψα", "ρο"],
 }
-SCRIPT_TEST = {"cyrillic": r"\\p{IsCyrillic}", "greek": r"\\p{IsGreek}"}
+SCRIPT_TEST = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -65,199 +70,236 @@ PATTERN = r"(?<![\p{L}0-9._%+-])(?:" + "|".join(f"(?:{p})" for p in KINDS.values
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|(?:{_ALL_TITLES})[. ]"
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _case(value: Column, results: dict[str, Column], otherwise: Column | str) -> Column:
+    """The result whose key equals ``value``, which is computed once."""
+    def chosen(x: Column) -> Column:
+        out = F
+        for k, result in results.items():
+            out = out.when(x == k, result)
+        return out.otherwise(otherwise)
+
+    return _let(value, chosen)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _substr(v: Column, start: Column | int, length: Column | int | None = None) -> Column:
+    return F.substr(v, _lit(start), None if length is None else _lit(length))
 
 
-def _kind(m: str) -> str:
-    cases = " ".join(f"WHEN regexp_extract({m}, {_sql('^(?:' + p + ')$')}, 0) = {m} THEN '{k}'" for k, p in KINDS.items())
-    return f"CASE {cases} ELSE 'name' END"
+def _lit(v: Column | int) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
 
 
-def _alnum(v: str) -> str:
-    return f"regexp_replace({v}, '[^A-Za-z0-9]', '')"
+def _concat(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _canonical(kind: str, v: str) -> str:
+def _kind(m: Column) -> Column:
+    out = F
+    for k, p in KINDS.items():
+        out = out.when(F.regexp_extract(m, f"^(?:{p})$", 0) == m, k)
+    return out.otherwise("name")
+
+
+def _alnum(v: Column) -> Column:
+    return F.regexp_replace(v, "[^A-Za-z0-9]", "")
+
+
+def _canonical(kind: str, v: Column) -> Column:
     """The form in which spellings of one entity agree; itself a valid spelling. Names: see _name_words."""
-    return {
-        "email": f"lower({v})",
-        "secret": f"regexp_replace({v}, {_sql(SECRET_HEAD)}, '')",
-        "ip": v,
-        "iban": _alnum(v),
-        "card": _alnum(v),
-        "ssn": v,
-        "phone": f"concat({_phone_head(v)}, {_alnum(_phone_tail(v))})",
-    }[kind]
+    if kind == "email":
+        return F.lower(v)
+    if kind == "secret":
+        return F.regexp_replace(v, SECRET_HEAD, "")
+    if kind == "phone":
+        return F.concat(_phone_head(v), _alnum(_phone_tail(v)))
+    return _alnum(v) if kind in ("iban", "card") else v
 
 
 SECRET_HEAD = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?"
 
 
-def _phone_head(v: str) -> str:
+def _phone_head(v: Column) -> Column:
     """Country code with its plus and one blank; the first digit if nothing marks where the code ends."""
-    return (f"CASE WHEN substr({v}, 1, 1) = '+' THEN concat(regexp_extract({v}, "
-            f"{_sql(r'^(\+\d{1,3}(?=[ .(-])|\+\d)')}, 1), ' ') ELSE '' END")
+    code = F.regexp_extract(v, r"^(\+\d{1,3}(?=[ .(-])|\+\d)", 1)
+    return F.when(_substr(v, 1, 1) == "+", _concat(code, " ")).otherwise("")
 
 
-def _phone_tail(v: str) -> str:
-    return f"substr({v}, length(rtrim({_phone_head(v)})) + 1)"
+def _phone_tail(v: Column) -> Column:
+    return _substr(v, F.length(F.rtrim(_phone_head(v))) + 1)
 
 
-def _stream(key: str, salt: str) -> str:
+def _stream(key: str, salt: Column) -> Column:
     """256 hex digits drawn from the key and ``salt``."""
-    return "concat(" + ", ".join(f"sha2(concat({_sql(key)}, ':{i}:', {salt}), 256)" for i in range(4)) + ")"
+    return F.concat(*[F.sha2(_concat(key, f":{i}:", salt), 256) for i in range(4)])
 
 
-def _number(h: str, at: str, digits: int = 4) -> str:
-    return f"cast(conv(substr({h}, ({at}) * {digits} % {256 - 256 % digits} + 1, {digits}), 16, 10) as bigint)"
+def _number(h: Column, at: Column | int, digits: int = 4) -> Column:
+    return F.conv(_substr(h, _lit(at) * digits % (256 - 256 % digits) + 1, digits), 16, 10).cast("bigint")
 
 
-def _letters(v: str, h: str, letters: int = 26) -> str:
+def _letters(v: Column, h: Column, letters: int = 26) -> Column:
     """Replace letters and digits of ``v`` within their class; the i-th of them takes the i-th number of ``h``,
     so punctuation does not shift the numbers."""
-    plain = (f"array_join(transform({_chars(_alnum(v))}, (c, k) -> transform(array({_number(h, 'k + 1', 2)}), n -> "
-             f"CASE WHEN c between '0' and '9' THEN cast(n % 10 as string) "
-             f"WHEN c between 'a' and 'z' THEN char(97 + n % {letters}) "
-             f"ELSE char(65 + n % {letters}) END)[0]), '')")
+    def drawn(c: Column, n: Column) -> Column:
+        return (F.when(c.between("0", "9"), (n % 10).cast("string"))
+                .when(c.between("a", "z"), F.char(97 + n % letters)).otherwise(F.char(65 + n % letters)))
+
+    plain = F.array_join(F.transform(_chars(_alnum(v)), lambda c, k: _let(_number(h, k + 1, 2), lambda n: drawn(c, n))), "")
     return _relayout(v, plain)
 
 
-def _chars(v: str) -> str:
+def _chars(v: Column) -> Column:
     """Array of the characters of an entity (ASCII, but for names)."""
-    return f"filter(split({v}, ''), c -> c != '')"
+    return F.filter(F.split(v, ""), lambda c: c != "")
 
 
-def _luhn(d: str, from_end: int) -> str:
+def _luhn(d: Column, from_end: int) -> Column:
     """Luhn sum of a digit string; ``from_end`` 0 if its last digit is the check digit, 1 if that is missing."""
-    x = f"cast(substr({d}, length({d}) - i, 1) as int)"
-    return (f"aggregate(sequence(0, length({d}) - 1), 0, (t, i) -> t + CASE WHEN (i + {from_end}) % 2 = 0 THEN {x} "
-            f"WHEN {x} < 5 THEN 2 * {x} ELSE 2 * {x} - 9 END)")
+    def add(t: Column, i: Column) -> Column:
+        x = _substr(d, F.length(d) - i, 1).cast("int")
+        return t + F.when((i + from_end) % 2 == 0, x).when(x < 5, 2 * x).otherwise(2 * x - 9)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), add)
 
 
-def _relayout(v: str, plain: str) -> str:
+def _relayout(v: Column, plain: Column) -> Column:
     """Put the characters of ``plain`` in the places of the letters and digits of ``v``.
 
     Both are taken apart once and put together by one sort of positions, so a long entity costs no more
     per character than a short one.
     """
-    places = "filter(sequence(0, size(cs) - 1), i -> {} (cs[i] rlike '[A-Za-z0-9]'))".format
-    put = (f"transform({places('')}, (i, k) -> named_struct('i', i, 'c', ps[k]))")
-    stay = (f"transform({places('not')}, i -> named_struct('i', i, 'c', cs[i]))")
-    mixed = _let(_chars(v), "cs", _let(_chars(plain), "ps", f"array_join(transform(sort_array(concat({put}, {stay})), x -> x.c), '')"))
-    return f"CASE WHEN length({_alnum(v)}) = length({v}) THEN {plain} ELSE {mixed} END"
+    def mixed(cs: Column, ps: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(cs) - 1)
+        put = F.transform(F.filter(places, lambda i: cs[i].rlike("[A-Za-z0-9]")),
+                          lambda i, k: F.struct(i.alias("i"), ps[k].alias("c")))
+        stay = F.transform(F.filter(places, lambda i: ~cs[i].rlike("[A-Za-z0-9]")),
+                           lambda i: F.struct(i.alias("i"), cs[i].alias("c")))
+        return F.array_join(F.transform(F.sort_array(F.concat(put, stay)), lambda x: x["c"]), "")
 
+    def placed(p: Column) -> Column:
+        apart = _let(_chars(v), lambda cs: _let(_chars(p), lambda ps: mixed(cs, ps)))
+        return F.when(F.length(_alnum(v)) == F.length(v), p).otherwise(apart)
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return _let(plain, placed)
 
 
-def _surrogate(key: str, kind: str, v: str, canon: str, attempt: str) -> str:
-    """SQL for the surrogate of the spelling ``v`` of an entity that is not a name.
+def _surrogate(key: str, kind: str, v: Column, canon: Column, attempt: Column) -> Column:
+    """The surrogate of the spelling ``v`` of an entity that is not a name.
 
     A format with more entities than values would draw for ever; from the 21st draw on the surrogate
     grows by two characters a draw.
     """
-    h = f"sha2(concat({_sql(key)}, ':more:{kind}:', {canon}, ':', {attempt}), 512)"
-    more = f"CASE WHEN {attempt} > 20 THEN substr({h}, 1, 2 * ({attempt} - 20)) ELSE '' END"
-    return f"concat({_same_format(key, kind, v, canon, attempt)}, {more})"
+    h = F.sha2(_concat(key, f":more:{kind}:", canon, ":", attempt), 512)
+    more = F.when(attempt > 20, _substr(h, 1, 2 * (attempt - 20))).otherwise("")
+    return F.concat(_let(_stream(key, _concat(f"{kind}:", canon, ":", attempt)),
+                         lambda h: _same_format(key, kind, v, h, attempt)), more)
 
 
-def _same_format(key: str, kind: str, v: str, canon: str, attempt: str) -> str:
-    h = _stream(key, f"concat('{kind}:', {canon}, ':', {attempt})")
+def _same_format(key: str, kind: str, v: Column, h: Column, attempt: Column) -> Column:
     if kind == "email":
-        domain = f"substring_index({v}, '@', -1)"
-        dh = _stream(key, f"concat('domain:', lower({domain}))")
-        label = f"CASE WHEN lower(d) = 'example' THEN d ELSE {_letters('d', 'dh')} END"
-        labels = (f"split({domain}, '[.]')")
-        new = (f"concat(array_join(transform(slice({labels}, 1, size({labels}) - 1), d -> {label}), '.'), '.', "
-               f"substring_index({domain}, '.', -1))")
-        local = f"substring_index({v}, '@', 1)"
-        return _let(h, "h", _let(dh, "dh", f"concat({_letters(local, 'h')}, '@', {new})"))
+        domain = F.substring_index(v, "@", -1)
+        labels = F.split(domain, "[.]")
+
+        def mail(dh: Column) -> Column:
+            new = F.transform(F.slice(labels, 1, F.size(labels) - 1),
+                              lambda d: F.when(F.lower(d) == "example", d).otherwise(_letters(d, dh)))
+            return _concat(_letters(F.substring_index(v, "@", 1), h), "@", F.array_join(new, "."), ".",
+                           F.substring_index(domain, ".", -1))
+
+        return _let(_stream(key, _concat("domain:", F.lower(domain))), mail)
     if kind == "secret":
-        head = f"regexp_extract({v}, {_sql(SECRET_HEAD)}, 0)"
-        tail = f"regexp_replace({v}, {_sql(SECRET_HEAD)}, '')"
-        return _let(h, "h", _let(tail, "w", f"concat({head}, CASE WHEN w rlike '^[0-9a-f]+$' THEN {_letters('w', 'h', 6)} "
-                                 f"WHEN w rlike '^AKIA[0-9A-Z]+$' THEN concat('AKIA', {_letters('substr(w, 5)', 'h')}) "
-                                 f"ELSE {_letters('w', 'h')} END)"))
+        head = F.regexp_extract(v, SECRET_HEAD, 0)
+        return _let(F.regexp_replace(v, SECRET_HEAD, ""), lambda w: F.concat(
+            head, F.when(w.rlike("^[0-9a-f]+$"), _letters(w, h, 6))
+            .when(w.rlike("^AKIA[0-9A-Z]+$"), _concat("AKIA", _letters(_substr(w, 5), h))).otherwise(_letters(w, h))))
     if kind == "ip":
-        # After 20 draws narrow octets may run out; they then widen to three digits.
-        octet = (f"CASE WHEN length(o) = 1 and {attempt} <= 20 THEN 1 + n % 9 WHEN length(o) = 2 and {attempt} <= 20 "
-                 f"THEN 10 + n % 90 ELSE 100 + n % 155 END")
-        return _let(h, "h", f"array_join(transform(split({v}, '[.]'), (o, i) -> "
-                    + _let(_number("h", "i", 4), "n", f"cast({octet} as string)") + "), '.')")
+        def octet(o: Column, n: Column) -> Column:
+            # After 20 draws narrow octets may run out; they then widen to three digits.
+            return (F.when((F.length(o) == 1) & (attempt <= 20), 1 + n % 9)
+                    .when((F.length(o) == 2) & (attempt <= 20), 10 + n % 90).otherwise(100 + n % 155))
+
+        return F.array_join(F.transform(F.split(v, "[.]"), lambda o, i: _let(
+            _number(h, i, 4), lambda n: octet(o, n).cast("string"))), ".")
     if kind == "card":
-        digits = _alnum(v)
-        body = f"concat(substr(d, 1, 1), {_letters('substr(d, 2, length(d) - 2)', 'h')})"
-        check = f"CASE WHEN {_luhn('d', 0)} % 10 = 0 THEN (10 - {_luhn('b', 1)} % 10) % 10 ELSE {_number('h', '40', 2)} % 10 END"
-        plain = _let(body, "b", f"concat(b, cast({check} as string))")
-        return _let(h, "h", _let(digits, "d", _let(plain, "p", _relayout(v, "p"))))
+        def card(d: Column) -> Column:
+            body = F.concat(_substr(d, 1, 1), _letters(_substr(d, 2, F.length(d) - 2), h))
+            return _let(body, lambda b: F.concat(b, F.when(_luhn(d, 0) % 10 == 0, (10 - _luhn(b, 1) % 10) % 10).otherwise(
+                _number(h, 40, 2) % 10).cast("string")))
+
+        return _let(_alnum(v), lambda d: _relayout(v, card(d)))
     if kind == "iban":
-        return _let(h, "h", f"concat(substr({v}, 1, 2), {_letters(f'substr({v}, 3)', 'h')})")
+        return F.concat(_substr(v, 1, 2), _letters(_substr(v, 3), h))
     if kind == "phone":
-        head = f"substr({v}, 1, length(rtrim({_phone_head(v)})))"
-        return _let(h, "h", f"concat({head}, {_letters(_phone_tail(v), 'h')})")
-    return _let(h, "h", _letters(v, "h"))
+        return F.concat(_substr(v, 1, F.length(F.rtrim(_phone_head(v)))), _letters(_phone_tail(v), h))
+    return _letters(v, h)
 
 
-def _script(w: str) -> str:
-    return (f"CASE WHEN {w} rlike '{SCRIPT_TEST['cyrillic']}' THEN 'cyrillic' WHEN {w} rlike '{SCRIPT_TEST['greek']}' "
-            f"THEN 'greek' ELSE 'latin' END")
+def _script(w: Column) -> Column:
+    return F.when(w.rlike(SCRIPT_TEST["cyrillic"]), "cyrillic").when(w.rlike(SCRIPT_TEST["greek"]), "greek").otherwise("latin")
 
 
-def _array(values: list[str]) -> str:
-    return "array(" + ", ".join(map(_sql, values)) + ")"
+def _array(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
-def _name_word(key: str, kind: str, w: str, attempt: str) -> str:
+def _name_word(key: str, kind: Column, w: Column, attempt: Column) -> Column:
     """Surrogate of one name word; kind: 'given m', 'given f' or 'surname'. A given name that draws again gets
     a syllable more, and surnames grow every second draw, so that names cannot run out."""
-    h = _stream(key, f"concat({kind}, ':', lower({w}), ':', {attempt})")
-    scripts = " ".join(
-        f"WHEN '{s}' THEN concat(" + _let(f"CASE {kind} WHEN 'given m' THEN {_array(GIVEN[('m', s)])} WHEN 'given f' THEN "
-                                          f"{_array(GIVEN[('f', s)])} ELSE array('') END", "g",
-                                          f"element_at(g, cast(1 + {_number('h', '0')} % size(g) as int))")
-        + f", array_join(transform(sequence(1, 8), i -> CASE WHEN i <= CASE {kind} WHEN 'surname' THEN 3 + {attempt} div 2 "
-          f"ELSE {attempt} END THEN element_at({_array(SYLLABLES[s])}, cast(1 + {_number('h', 'i')} % {len(SYLLABLES[s])} as int)) "
-          "ELSE '' END), ''))" for s in SYLLABLES)
-    new = f"CASE {_script(w)} {scripts} END"
-    cased = (f"CASE WHEN length({w}) > 1 and {w} = upper({w}) THEN upper(x) "
-             f"ELSE concat(upper(substr(x, 1, 1)), lower(substr(x, 2))) END")
-    return _let(h, "h", _let(new, "x", cased))
-
-
-def _name_words(m: str) -> str:
+    syllables = F.when(kind == "surname", 3 + F.shiftright(attempt, 1)).otherwise(attempt)
+
+    def in_script(s: str, h: Column) -> Column:
+        given = F.when(kind == "given m", _array(GIVEN[("m", s)])).when(kind == "given f", _array(GIVEN[("f", s)])).otherwise(
+            _array([""]))
+        more = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(i <= syllables, F.element_at(
+            _array(SYLLABLES[s]), (1 + _number(h, i) % len(SYLLABLES[s])).cast("int"))).otherwise(""))
+        return F.concat(_let(given, lambda g: F.element_at(g, (1 + _number(h, 0) % F.size(g)).cast("int"))),
+                        F.array_join(more, ""))
+
+    def cased(x: Column) -> Column:
+        return F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(x)).otherwise(
+            F.concat(F.upper(_substr(x, 1, 1)), F.lower(_substr(x, 2))))
+
+    return _let(_stream(key, _concat(kind, ":", F.lower(w), ":", attempt)), lambda h: _let(
+        _case(_script(w), {s: in_script(s, h) for s in SYLLABLES}, F.lit(None)), cased))
+
+
+def _name_words(m: Column) -> Column:
     """Array of (kind, word) of a titled name: given name and surname, or the surname alone."""
     female = "|".join(t for (g, _), ts in TITLES.items() if g == "f" for t in ts)
-    words = f"split(regexp_replace({m}, {_sql(f'^(?:{_ALL_TITLES})\\.? ')}, ''), ' ')"
-    given = f"concat('given ', CASE WHEN {m} rlike {_sql(f'^(?:{female})')} THEN 'f' ELSE 'm' END)"
-    return (f"transform({words}, (w, i) -> named_struct('kind', CASE WHEN size({words}) = 2 and i = 0 THEN {given} "
-            "ELSE 'surname' END, 'word', w))")
+    words = F.split(F.regexp_replace(m, rf"^(?:{_ALL_TITLES})\.? ", ""), " ")
+    given = F.when(m.rlike(f"^(?:{female})"), "given f").otherwise("given m")
+    return F.transform(words, lambda w, i: F.struct(
+        F.when((F.size(words) == 2) & (i == 0), given).otherwise("surname").alias("kind"), w.alias("word")))
 
 
-def _entities(m: str) -> str:
+def _entities(m: Column) -> Column:
     """Array of (kind, canon) of one match."""
-    others = " ".join(f"WHEN '{k}' THEN array(named_struct('kind', '{k}', 'canon', {_canonical(k, m)}))"
-                      for k in KINDS if k != "name")
-    names = f"transform({_name_words(m)}, w -> named_struct('kind', w.kind, 'canon', lower(w.word)))"
-    return f"CASE {_kind(m)} {others} ELSE {names} END"
+    others = {k: F.array(F.struct(F.lit(k).alias("kind"), _canonical(k, m).alias("canon"))) for k in KINDS if k != "name"}
+    return _case(_kind(m), others, F.transform(
+        _name_words(m), lambda w: F.struct(w["kind"].alias("kind"), F.lower(w["word"]).alias("canon"))))
 
 
-def _replaced(key: str, m: str, attempts: str) -> str:
-    def attempt(kind: str, canon: str) -> str:
-        return f"coalesce(try_element_at({attempts}, concat({kind}, ':', {canon})), 0)"
+def _replaced(key: str, m: Column, attempts: Column) -> Column:
+    def attempt(kind: Column | str, canon: Column) -> Column:
+        return F.coalesce(F.try_element_at(attempts, _concat(kind, ":", canon)), F.lit(0))
 
-    others = " ".join(
-        f"WHEN '{k}' THEN " + _let(_canonical(k, m), "cn", _let(attempt(f"'{k}'", "cn"), "a", _surrogate(key, k, m, "cn", "a")))
-        for k in KINDS if k != "name")
-    title = f"regexp_extract({m}, {_sql(f'^(?:{_ALL_TITLES})\\.? ')}, 0)"
-    words = (f"array_join(transform({_name_words(m)}, w -> "
-             + _let(attempt("w.kind", "lower(w.word)"), "a", _name_word(key, "w.kind", "w.word", "a")) + "), ' ')")
-    return f"CASE {_kind(m)} {others} ELSE concat({title}, {words}) END"
+    def other(kind: str) -> Column:
+        return _let(_canonical(kind, m), lambda cn: _let(attempt(kind, cn), lambda a: _surrogate(key, kind, m, cn, a)))
 
+    def name(w: Column) -> Column:
+        return _let(attempt(w["kind"], F.lower(w["word"])), lambda a: _name_word(key, w["kind"], w["word"], a))
 
-def _matches(text: str) -> Column:
-    return F.expr(f"CASE WHEN `{text}` rlike {_sql(HINT)} THEN regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0) END")
+    title = F.regexp_extract(m, rf"^(?:{_ALL_TITLES})\.? ", 0)
+    words = F.array_join(F.transform(_name_words(m), name), " ")
+    return _case(_kind(m), {k: other(k) for k in KINDS if k != "name"}, F.concat(title, words))
+
+
+def _matches(text: Column) -> Column:
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -266,10 +308,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     Those that collide draw again until none does; surrogates of short formats grow in the end, so
     there are always enough.
     """
+    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    others = {k: _surrogate(key, k, canon, canon, attempt) for k in KINDS if k != "name"}
+    surrogate = _case(kind, others, F.lower(_name_word(key, kind, canon, attempt)))
+
     def drawn(rows: DataFrame) -> DataFrame:
-        kinds = " ".join(f"WHEN '{k}' THEN {_surrogate(key, k, 'canon', 'canon', 'attempt')}" for k in KINDS if k != "name")
-        named = f"lower({_name_word(key, 'kind', 'canon', 'attempt')})"
-        return stored(rows.withColumn("surrogate", F.expr(f"CASE kind {kinds} ELSE {named} END")))
+        return stored(rows.withColumn("surrogate", surrogate))
 
     current = drawn(entities.withColumn("attempt", F.lit(0)))
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
@@ -305,7 +349,8 @@ def _rewrite(docs: DataFrame, key: str, id_col: str, text_col: str, max_inline:
     base = docs.select(F.sha2(F.col(f"`{text_col}`").cast("string"), 256).alias("_id"),
                        F.col(f"`{text_col}`").cast("string").alias("_text"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = base.select("_id", F.explode(_matches("_text")).alias("m")).select("_id", F.explode(F.expr(_entities("m"))).alias("e"))
+    found = base.select("_id", F.explode(_matches(F.col("_text"))).alias("m")).select(
+        "_id", F.explode(_entities(F.col("m"))).alias("e"))
     entities = stored(found.select("e.kind", "e.canon").distinct())
     again = assign(entities, key).filter("attempt > 0").select(F.concat_ws(":", "kind", "canon").alias("k"), "attempt")
     many = again.count()
@@ -321,14 +366,14 @@ def _rewrite(docs: DataFrame, key: str, id_col: str, text_col: str, max_inline:
             F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_found"))
         base = base.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left").withColumn(
             "_attempts", F.coalesce("_found", none))
-    pieces = f"split(`_text`, {_sql(PATTERN)}, -1)"
-    text = _let(pieces, "p", "concat(array_join(transform(_m, (m, j) -> concat(p[j], "
-                + _replaced(key, "m", "_attempts") + ")), ''), p[size(_m)])")
-    rows = base.withColumn("_m", _matches("_text")).withColumn(
-        "_new", F.expr(f"CASE WHEN size(_m) > 0 THEN {text} ELSE `_text` END"))
+    m, attempts = F.col("_m"), F.col("_attempts")
+    text = _let(F.split("_text", PATTERN, -1), lambda p: F.concat(F.array_join(F.transform(
+        m, lambda x, j: F.concat(p[j], _replaced(key, x, attempts))), ""), p[F.size(m)]))
+    rows = base.withColumn("_m", _matches(F.col("_text"))).withColumn(
+        "_new", F.when(F.size(m) > 0, text).otherwise(F.col("_text")))
     return rows.select(
         F.struct(*[F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c)
                    for c in docs.columns]).alias("_t"),
         F.coalesce(F.size("_m"), F.lit(0)).cast("long").alias("_n_entities"),
-        F.expr(f"CASE WHEN size(_m) > 0 THEN array_sort(array_distinct(transform(_m, m -> {_kind('m')}))) "
-               "ELSE cast(array() as array<string>) END").alias("_kinds"))
+        F.when(F.size(m) > 0, F.array_sort(F.array_distinct(F.transform(m, _kind)))).otherwise(
+            F.array().cast("array<string>")).alias("_kinds"))
