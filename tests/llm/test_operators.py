@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -17,7 +18,7 @@ from paytally.llm import (
     catalog, context_tree, decontaminate, hash_tree, imatch, lyndon_repeats, packing, quality_rules,
     simhash_pivots, surrogates, transcripts,
 )
-from paytally.llm.common import components
+from paytally.llm.common import components, sliced
 
 from .conftest import HARD, SF
 
@@ -275,6 +276,27 @@ def test_repeats_of_hard_rows(docs_of, monkeypatch):
     assert sum(len(p) - 399 for _, pieces in slices for p in pieces) == lyndon_repeats.SLICE + 101
 
 
+def test_repeats_hold_few_bytes_at_once(docs_of):
+    rows = [(g, b"x" * n) for g, n in ((1, 40), (1, 30), (2, 20), (3, 200), (3, 50), (4, 10), (5, 95))]
+    lists = list(lyndon_repeats.whole_groups(iter(rows), 0, 1, 100))
+    assert [r for some in lists for r in some] == rows
+    assert [sorted({g for g, _ in some}) for some in lists] == [[1, 2], [3], [4], [5]]
+    assert list(lyndon_repeats.whole_groups(iter([]), 0, 1, 100)) == []
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(50)), "t": ["y" * (5_000 if i == 7 else i) for i in range(50)]})
+    parts = list(sliced(iter([batch]), rows=40, size=300))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows and (p.nbytes <= 300 or p.num_rows == 1) for p in parts)
+    assert [p.num_rows for p in sliced(iter([batch]), rows=40)] == [40, 10]
+
+    # Near copies: each anchor has a group of contexts, and one block many groups, more than are compared at once.
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    near = [(i, "".join(c if rng.random() > 0.02 else "X" for c in base)) for i in range(30)]
+    got = lyndon_repeats.remove_repeats(docs_of(near), length=60, gram=20, block_bytes=2_000)
+    assert have_repeats(got) == plain_repeats(near, 60)
+
+
 # 5: I-Match
 
 @pytest.mark.parametrize("buckets", [1, 4])
